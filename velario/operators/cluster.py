@@ -113,7 +113,8 @@ def merge_persons(clusters: DataFrame, threshold: float = THRESHOLD) -> DataFram
 
 def cluster_variants(candidates: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Clusters of all kinds; order them by (-total_count, canonical) for display."""
-    return merge_persons(drop_covered(leader_clusters(candidates, threshold)), threshold)
+    led = leader_clusters(candidates, threshold).persist()  # read by each clean-up; names, not rows
+    return merge_persons(drop_covered(led).persist(), threshold)
 
 
 def similar_pairs(entries: DataFrame) -> DataFrame:
