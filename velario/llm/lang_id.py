@@ -156,9 +156,12 @@ def fit(rows: list[tuple[str, bool, np.ndarray, np.ndarray]], dimension: int = D
             error[np.arange(len(part)), [at[r[0]] for r in part]] -= 1
             error /= len(part)
             back = error @ weights.T
-            weights -= 20 * rate * (hidden.T @ error)
+            # Steps are scaled by what they act on, so short and long texts, whose shares differ
+            # a hundredfold, learn at one pace and neither diverges.
+            weights -= 2 * rate / (0.1 + (hidden**2).sum(1).mean()) * (hidden.T @ error)
             bias -= 0.1 * rate * error.sum(0)
-            embedding[used] -= 400 * rate * (x.T @ back)
+            scaled = x / np.maximum((x**2).sum(1, keepdims=True), 1e-12)
+            embedding[used] -= 4 * rate / (1 + (weights**2).sum()) * (scaled.T @ back)
     model = Model(languages, embedding @ weights, bias)
     calibrate(model, [r for r in rows if r[1]] or rows, at)
     return model
