@@ -60,7 +60,7 @@ def analyse(spark: SparkSession, path: str | list[str], store: MappingStore, pro
     found = found.persist()
     clusters = cluster.cluster_variants(found).persist()
     review = codenames.assign_codenames(clusters, store.load(project), project, mode, main_company).persist()
-    names = review.select(F.lower(F.explode(F.concat(F.array("canonical"), "variants"))).alias("name_lower"))
+    names = review.select(F.explode(F.concat(F.array("canonical"), "variants")).alias("name")).select(F.lower("name").alias("name_lower"))
     review = ledger.attach_contexts(review, ledger.row_contexts(cells, names)).persist()
     return Analysis(files, fragments, cells, types, doctype.batch_vote(types.withColumn("batch_id", F.lit(project))), found, clusters, review)
 
