@@ -168,7 +168,7 @@ def near_dup_links(docs: DataFrame, classes: DataFrame, reps: DataFrame, scratch
     members = scratch.table(members)
     open_lists = members.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("value")
     members = members.join(scratch.table(open_lists), "value")
-    twin = members.select("value", *[F.col(c).alias(f"{c}2") for c in ("rep", "n", "home", "component", "sig")])
+    twin = members.select(*[F.col(c).alias(f"{c}2") for c in ("value", "rep", "n", "home", "component", "sig")])
     # Pairs with one home are compared in the home's list alone.
     once = (F.col("home") != F.col("home2")) | (F.col("value") == F.col("home"))
     hits, size = estimate("sig", "sig2", SIGNATURE)
@@ -176,7 +176,7 @@ def near_dup_links(docs: DataFrame, classes: DataFrame, reps: DataFrame, scratch
     small = (F.col("n") <= SIGNATURE) & (F.col("n2") <= SIGNATURE)
     close = F.when(small, _is_link(overlap, F.col("n"), F.col("n2"), percent)).otherwise(_near(hits, size, percent, margin))
     cheap = (F.col("rep") < F.col("rep2")) & (F.col("component") != F.col("component2")) & _sizes_fit("n", "n2", percent) & once
-    found = members.join(twin, (members["value"] == twin["value"]) & cheap & close)
+    found = members.join(twin, (F.col("value") == F.col("value2")) & cheap & close)
     rest = scratch.table(found.select(F.col("rep").alias("a"), F.col("rep2").alias("b")).distinct())
     checked = rest.join(set_a, "a").join(set_b, "b").where(_is_link(common, F.size("x_a"), F.size("x_b"), percent))
     return scratch.table(links.unionByName(checked.select(F.col("a").alias("u"), F.col("b").alias("v"))).distinct())
