@@ -12,16 +12,20 @@ from pyspark.sql import functions as F
 from velario.llm.common import Scratch
 
 
+def _least(links: DataFrame) -> DataFrame:
+    return links.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), "m")
+
+
 def _large_star(links: DataFrame) -> DataFrame:
     both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, F.col("u") == F.col("c")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    least = _least(both).withColumn("m", F.least("c", "m"))
+    return both.where("v > u").join(least, F.col("u") == F.col("c")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(links: DataFrame) -> DataFrame:
-    down = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    least = down.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), "m")
-    moved = down.join(least, F.col("u") == F.col("c")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    """links lead from the larger node to the smaller one, as _large_star makes them."""
+    least = _least(links)
+    moved = links.join(least, F.col("u") == F.col("c")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select(F.col("c").alias("u"), F.col("m").alias("v"))).distinct()
 
 

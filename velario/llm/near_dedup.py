@@ -8,9 +8,10 @@
    values. So a representative with fewer shared values is out, and of c shared values the
    ``c - least_overlap + 1`` rarest are indexed: any linked pair meets in one of those lists.
    Values that very many documents hold are indexed only by documents made mostly of such values.
-3. Lists up to ``LIST`` long give all their pairs. Longer lists give one pair for each member, with
-   the list's smallest id; after those links are contracted, the list's pairs that still lie in
-   different components are compared inside the join itself, which only puts out close pairs.
+3. Lists up to ``LIST`` long give all their pairs. Longer lists first give pairs with ``PIVOTS``
+   of their members, the smallest id among them. Members linked to one pivot are in one component
+   and need no comparison; the other pairs of the list are compared inside the join itself, each
+   in one list only, and only close pairs come out.
 4. The union-sketch estimate filters pairs, then exact Jaccard on the full sets confirms links.
    Full sets are made by a second scan, for documents of remaining pairs alone.
 5. Connected components by alternating stars.
@@ -43,6 +44,7 @@ K = 64
 #: Standard deviations that a sketch may fall short of the threshold.
 MARGIN = 5.5
 LIST = 32
+PIVOTS = 3
 #: Values that a set shows where a long list is compared; sets up to this size are compared exactly.
 SIGNATURE = 512
 
@@ -114,7 +116,7 @@ def _is_link(common: Column, n_a: Column, n_b: Column, percent: int) -> Column:
 
 
 def inverted_lists(reps: DataFrame, scratch: Scratch, k: int, percent: int, margin: float) -> DataFrame:
-    """(value, rep, n, home) of the indexed values; home is the most frequent value of a rep."""
+    """(value, rep, n, held) of the indexed values; held has all of a rep's, rarest first."""
     values = reps.select(F.col("id").alias("rep"), "n", F.explode("sketch").alias("value"))
     shared = scratch.table(values.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
     bitmap = scratch.table(slot_bitmap(shared, "value"))
@@ -123,7 +125,7 @@ def inverted_lists(reps: DataFrame, scratch: Scratch, k: int, percent: int, marg
     by_rep = entries.groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("held"))
     need = least_overlap(F.col("n"), k, percent, margin)
     indexed = by_rep.where(F.size("held") >= need).select("rep", "n", F.slice("held", 1, F.size("held") - need + 1).alias("held"))
-    return indexed.select("rep", "n", F.element_at("held", -1)["value"].alias("home"), F.explode("held").alias("x")).select(F.col("x.value").alias("value"), "rep", "n", "home")
+    return indexed.select("rep", "n", F.transform("held", lambda x: x["value"]).alias("held")).select(F.explode("held").alias("value"), "rep", "n", "held")
 
 
 def _sizes_fit(a: str, b: str, percent: int) -> Column:
@@ -133,13 +135,15 @@ def _sizes_fit(a: str, b: str, percent: int) -> Column:
 def near_dup_links(docs: DataFrame, classes: DataFrame, reps: DataFrame, scratch: Scratch, id_col: str, text_col: str, k: int, percent: int, margin: float, width: int) -> DataFrame:
     """Exact links (u, v) between representatives."""
     lists = scratch.table(inverted_lists(reps, scratch, k, percent, margin))
-    lengths = scratch.table(lists.groupBy("value").agg(F.count(F.lit(1)).alias("length"), F.min(F.struct("rep", "n")).alias("first")).where("length > 1"))
+    pivots = [F.min(F.struct((F.xxhash64(F.lit(i), "rep") if i else F.col("rep")).alias("order"), "rep", "n")).alias(f"p{i}") for i in range(PIVOTS)]
+    lengths = scratch.table(lists.groupBy("value").agg(F.count(F.lit(1)).alias("length"), *pivots).where("length > 1"))
     held = lists.join(lengths, "value")
     short = held.where(F.col("length") <= LIST)
     other = short.select("value", F.col("rep").alias("rep2"), F.col("n").alias("n2"))
     all_pairs = short.join(other, "value").where((F.col("rep") < F.col("rep2")) & _sizes_fit("n", "n2", percent)).select(F.col("rep").alias("a"), F.col("rep2").alias("b"))
-    long = scratch.table(held.where(F.col("length") > LIST).select("value", "rep", "n", "home", "first"))
-    stars = long.where((F.col("rep") != F.col("first.rep")) & _sizes_fit("n", "first.n", percent)).select(F.col("first.rep").alias("a"), F.col("rep").alias("b"))
+    long = scratch.table(held.where(F.col("length") > LIST).select("value", "rep", "n", "held", F.array(*[F.struct(f"p{i}.rep", f"p{i}.n") for i in range(PIVOTS)]).alias("pivots")))
+    stars = long.select("rep", "n", F.explode(F.array_distinct("pivots")).alias("p")).select("rep", "n", F.col("p.rep").alias("rep2"), F.col("p.n").alias("n2"))
+    stars = stars.where((F.col("rep") != F.col("rep2")) & _sizes_fit("n", "n2", percent)).select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b"))
     pairs = scratch.table(all_pairs.unionByName(stars).distinct())
 
     # Union-sketch estimate.
@@ -161,21 +165,24 @@ def near_dup_links(docs: DataFrame, classes: DataFrame, reps: DataFrame, scratch
     if long.isEmpty():
         return links
 
-    # Long lists: pairs still in different components, compared inside the join.
-    grouped = connected_components(links, scratch).select(F.col("node").alias("rep"), "component")
+    # Long lists: pairs that no common neighbour joins yet, compared inside the join.
+    both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    label = both.groupBy(F.col("u").alias("rep")).agg(F.least(F.min("u"), F.min("v")).alias("label"))
     shown = sets.select(F.col("id").alias("rep"), F.slice("shingles", 1, SIGNATURE).alias("sig"))
-    members = long.join(grouped, "rep", "left").join(shown, "rep").select("value", "rep", "n", "home", F.coalesce("component", "rep").alias("component"), "sig")
+    members = long.select("value", "rep", "n", "held").join(scratch.table(label), "rep", "left").join(shown, "rep").withColumn("label", F.coalesce("label", "rep"))
     members = scratch.table(members)
-    open_lists = members.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("value")
+    open_lists = members.groupBy("value").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("value")
     members = members.join(scratch.table(open_lists), "value")
-    twin = members.select(*[F.col(c).alias(f"{c}2") for c in ("value", "rep", "n", "home", "component", "sig")])
-    # Pairs with one home are compared in the home's list alone.
-    once = (F.col("home") != F.col("home2")) | (F.col("value") == F.col("home"))
+    twin = members.select(*[F.col(c).alias(f"{c}2") for c in ("value", "rep", "n", "held", "label", "sig")])
+    # Rarest first, so a rep's last value is its most frequent one. Pairs that agree on it are
+    # compared in its list, other pairs in the first list that both are in.
+    home, home2 = F.element_at("held", -1), F.element_at("held2", -1)
+    once = F.when(home == home2, F.col("value") == home).otherwise(F.element_at(F.array_intersect("held", "held2"), 1) == F.col("value"))
     hits, size = estimate("sig", "sig2", SIGNATURE)
     overlap = F.size(F.array_intersect("sig", "sig2"))
     small = (F.col("n") <= SIGNATURE) & (F.col("n2") <= SIGNATURE)
     close = F.when(small, _is_link(overlap, F.col("n"), F.col("n2"), percent)).otherwise(_near(hits, size, percent, margin))
-    cheap = (F.col("rep") < F.col("rep2")) & (F.col("component") != F.col("component2")) & _sizes_fit("n", "n2", percent) & once
+    cheap = (F.col("rep") < F.col("rep2")) & (F.col("label") != F.col("label2")) & _sizes_fit("n", "n2", percent) & once
     found = members.join(twin, (F.col("value") == F.col("value2")) & cheap & close)
     rest = scratch.table(found.select(F.col("rep").alias("a"), F.col("rep2").alias("b")).distinct())
     checked = rest.join(set_a, "a").join(set_b, "b").where(_is_link(common, F.size("x_a"), F.size("x_b"), percent))
