@@ -142,7 +142,10 @@ def near_dup_links(docs: DataFrame, classes: DataFrame, reps: DataFrame, scratch
     other = short.select("value", F.col("rep").alias("rep2"), F.col("n").alias("n2"))
     all_pairs = short.join(other, "value").where((F.col("rep") < F.col("rep2")) & _sizes_fit("n", "n2", percent)).select(F.col("rep").alias("a"), F.col("rep2").alias("b"))
     long = scratch.table(held.where(F.col("length") > LIST).select("value", "rep", "n", "held", F.array(*[F.struct(f"p{i}.rep", f"p{i}.n") for i in range(PIVOTS)]).alias("pivots")))
-    stars = long.select("rep", "n", F.explode(F.array_distinct("pivots")).alias("p")).select("rep", "n", F.col("p.rep").alias("rep2"), F.col("p.n").alias("n2"))
+    stars = long.select("rep", "n", F.col("pivots")[0].alias("p"))
+    for i in range(1, PIVOTS):
+        stars = stars.unionByName(long.select("rep", "n", F.col("pivots")[i].alias("p")))
+    stars = stars.distinct().select("rep", "n", F.col("p.rep").alias("rep2"), F.col("p.n").alias("n2"))
     stars = stars.where((F.col("rep") != F.col("rep2")) & _sizes_fit("n", "n2", percent)).select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b"))
     pairs = scratch.table(all_pairs.unionByName(stars).distinct())
 
