@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +29,14 @@ class Analysis:
     review: DataFrame
 
 
+def cut(rows: DataFrame) -> DataFrame:
+    """The rows from a checkpoint in the shared folder: what follows plans from there on."""
+    context = rows.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(rows.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="velario-"))
+    return rows.checkpoint()
+
+
 def document_types(files: DataFrame, fragments: DataFrame, entities: DataFrame) -> DataFrame:
     """(doc_id, doctype, confidence, signals) of every file."""
     counts = entities.groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("n_entities"), F.count_distinct("sheet_ord").cast("int").alias("n_sheets"))
@@ -43,25 +52,26 @@ def analyse(spark: SparkSession, path: str | list[str], store: MappingStore, pro
     if forced not in FORCED:
         raise ValueError(f"forced must be one of {FORCED}")
     files = ooxml.read_files(spark, path)
-    cells = ooxml.extract_cells(files).persist()
-    fragments = ooxml.extract_fragments(files).persist()
+    cells = cut(ooxml.extract_cells(files))
+    fragments = cut(ooxml.extract_fragments(files))
     layout = ledger.ledger_layout(cells)
-    entities = ledger.ledger_entities(ledger.ledger_rows(cells, layout)).persist()
+    entities = cut(ledger.ledger_entities(ledger.ledger_rows(cells, layout)))
     if forced in ("teaser_im", "legal"):
         entities = entities.where(F.lit(False))
-    types = document_types(files, fragments, entities).persist()
+    types = cut(document_types(files, fragments, entities))
     texts = fragments.where("text is not null").select(F.lit(project).alias("batch_id"), "doc_id", F.lit(0).alias("file_ord"), "seq", "channel", "text")
     with_type = texts.join(types.select("doc_id", "doctype"), "doc_id")
     free = with_type.where(doctype.uses_ner(F.col("doctype"), forced))
     shown = detect.with_previous_text(texts)
     found = ledger.ledger_candidates(entities).unionByName(ledger.named_column_candidates(cells)).unionByName(detect.structured_candidates(shown))
     found = found.unionByName(detect.detect_candidates(free.drop("doctype"), layers=layers).where(~F.col("source").eqNullSafe("regex")))
-    # Each step below is read several times; names are far fewer than rows.
-    found = found.persist()
-    clusters = cluster.cluster_variants(found).persist()
-    review = codenames.assign_codenames(clusters, store.load(project), project, mode, main_company).persist()
+    # Each step below is read several times.
+    found = cut(found)
+    clusters = cut(cluster.cluster_variants(found))
+    review = codenames.assign_codenames(clusters, store.load(project), project, mode, main_company)
+    review = cut(review)
     names = review.select(F.explode(F.concat(F.array("canonical"), "variants")).alias("name")).select(F.lower("name").alias("name_lower"))
-    review = ledger.attach_contexts(review, ledger.row_contexts(cells, names)).persist()
+    review = ledger.attach_contexts(review, cut(ledger.row_contexts(cells, names)))
     return Analysis(files, fragments, cells, types, doctype.batch_vote(types.withColumn("batch_id", F.lit(project))), found, clusters, review)
 
 
