@@ -14,18 +14,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text handled at once inside a task; one text may exceed it and is then handled alone.
 SLICE_BYTES = 2 << 20
 
-#: Java pattern of whitespace runs that are not already a single space.
-NON_PLAIN_GAP = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
-
 _BASE = 0x9E3779B97F4A7C15 | 5
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+_SPACE_BYTES = frozenset(b" \t\n\x0b\x0c\r")
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _powers: dict[str, np.ndarray] = {}
@@ -72,9 +70,18 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
 
 
-def normal_text(text: Column) -> Column:
-    """Text with each whitespace run replaced by one space; null counts as empty."""
-    return F.regexp_replace(F.coalesce(text, F.lit("")), NON_PLAIN_GAP, " ")
+def normal_bytes(text: bytes | None) -> bytes:
+    """The text with each whitespace run replaced by one space; null counts as empty."""
+    if not text:
+        return b""
+    words = text.split()  # bytes split at x20 and x09-x0D only
+    if not words:
+        return b" "
+    return (b" " if text[0] in _SPACE_BYTES else b"") + b" ".join(words) + (b" " if text[-1] in _SPACE_BYTES else b"")
+
+
+def binary_texts(texts: pa.Array) -> list[bytes | None]:
+    return texts.cast(pa.binary()).to_pylist()
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -199,3 +206,22 @@ def in_bitmap(rows: DataFrame, bitmap: DataFrame, *keys: str, bits: int = BITMAP
     found = marked.join(F.broadcast(bitmap), "__bucket", "inner" if present else "left")
     bit = F.expr(f"shiftright({byte}, cast(__bit % 8 as int)) & 1")
     return found.where(bit == 1 if present else F.coalesce(bit, F.lit(0)) == 0).select(*rows.columns)
+
+
+_SLOTS = 1 << BITMAP_BITS
+
+
+def slot_bits(rows: DataFrame, a: str, b: str) -> np.ndarray:
+    """Bit array over the slots of two long columns: 2 MB on the driver, whatever the input's size."""
+    slot = f"pmod(pmod({a}, {_SLOTS}) + 7919 * pmod({b}, {_SLOTS}), {_SLOTS}) + 1"
+    found = rows.groupBy(F.expr(f"bitmap_bucket_number({slot})").alias("bucket")).agg(F.expr(f"bitmap_construct_agg(bitmap_bit_position({slot}))").alias("bitmap"))
+    out = np.zeros((_SLOTS // 32768, 4096), np.uint8)
+    for r in found.collect():
+        out[r["bucket"] - 1] = np.frombuffer(bytes(r["bitmap"]), np.uint8)
+    return out.ravel()
+
+
+def has_slot(bits: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each pair whether its slot is set: true for all that were put in, else by chance only."""
+    slot = (a % _SLOTS + 7919 * (b % _SLOTS)) % _SLOTS
+    return (bits[slot // 8] >> (slot % 8).astype(np.uint8) & 1).astype(bool)

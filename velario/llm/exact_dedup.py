@@ -1,75 +1,119 @@
 """Exact dedup by progressive refinement: length, then prefix hash, then full hash.
 
-1. One scan makes (id, normalised length, hash of a prefix). Groups are counted with map-side
-   combining, so a group that holds a third of all rows costs each task one row.
-2. The (length, prefix hash) groups with two rows or more become a bitmap of fixed size
-   (``2**bits`` slots, 2 MB at 24 bits): the only thing broadcast, its size does not depend on
-   the input. A slot shared by chance only adds a row to step 3.
-3. A second scan computes the full SHA-256 of rows whose slot is set, and of no other row.
-   No text is ever shuffled.
+1. One scan makes (id, length, hash of a prefix) of each normalised text. Lengths, then length and
+   prefix, are counted with map-side combining, so a group that holds a third of all rows costs
+   each task one row.
+2. The groups with two rows or more become a bit array of fixed size (2 MB): the only thing that
+   tasks share, its size does not depend on the input. A slot set by chance only adds a row to
+   step 3.
+3. A second scan makes the full SHA-256 of the rows whose slot is set, and of no other row. No
+   text is ever shuffled.
 
+Texts are equal when they are the same after each run of ``[\\x20\\x09-\\x0D]`` became one space.
 Edge cases: null text is empty text; rows with equal text and equal id are separate rows of one
-group; an empty table gives an empty result; other columns are ignored whatever their names.
+group and all count as kept when theirs is the smallest id; a null id counts in the group's size
+and stays if all ids of the group are null; an empty table gives an empty result; other columns
+are ignored whatever their names.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from velario.llm.common import BITMAP_BITS, Scratch, in_bitmap, normal_text, slot_bitmap
+from velario.llm.common import Scratch, binary_texts, has_slot, normal_bytes, slices, slot_bits
 
-#: Characters of normalised text in the prefix hash.
-PREFIX_CHARS = 256
+#: Bytes of normalised text in the prefix hash.
+PREFIX_BYTES = 256
 
 
-def _keys(docs: DataFrame, id_col: str, text_col: str, prefix_chars: int) -> DataFrame:
-    text = docs.select(F.col(id_col).alias("id"), normal_text(F.col(text_col)).alias("norm"))
-    return text.select(
-        "id",
-        "norm",
-        F.length("norm").alias("len"),
-        F.xxhash64(F.substring("norm", 1, prefix_chars)).alias("prefix"),
-    )
+def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+
+
+def _prefix_hash(text: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(text[:PREFIX_BYTES], digest_size=8).digest(), "little", signed=True)
+
+
+def _first_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return np.array([len(t) for t in texts], np.int64), np.array([_prefix_hash(t) for t in texts], np.int64)
+
+
+def length_and_prefix(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, len, prefix) of every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                lengths, prefixes = _first_keys([normal_bytes(t) for t in binary_texts(part.column("text"))])
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(lengths), pa.array(prefixes)], names=["id", "len", "prefix"])
+
+    return _source(docs, id_col, text_col).mapInArrow(run, "id long, len long, prefix long")
 
 
-def duplicate_groups(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = PREFIX_CHARS, bits: int = BITMAP_BITS
-) -> DataFrame:
+def full_hashes(docs: DataFrame, id_col: str, text_col: str, bits: np.ndarray | None = None) -> DataFrame:
+    """(id, full_hash): SHA-256 in hex of the normalised text, of rows whose slot is set in ``bits``."""
+    shared = None if bits is None else docs.sparkSession.sparkContext.broadcast(bits)  # 2 MB
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                texts = [normal_bytes(t) for t in binary_texts(part.column("text"))]
+                ids = part.column("id")
+                if shared is not None:
+                    lengths, prefixes = _first_keys(texts)
+                    keep = has_slot(shared.value, prefixes, lengths)
+                    texts, ids = [t for t, k in zip(texts, keep, strict=True) if k], ids.filter(pa.array(keep))
+                yield pa.RecordBatch.from_arrays([ids, pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string())], names=["id", "full_hash"])
+
+    return _source(docs, id_col, text_col).mapInArrow(run, "id long, full_hash string")
+
+
+def survivors(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
+    """(id, full_hash) of the rows that share length and prefix hash with another row."""
+    keys = scratch.table(length_and_prefix(docs, id_col, text_col))
+    lengths = keys.groupBy("len").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("len")
+    prefixes = keys.groupBy("len", "prefix").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    bits = slot_bits(prefixes.join(lengths, "len", "left_semi"), "prefix", "len")
+    scratch.drop(keys)
+    return scratch.table(full_hashes(docs, id_col, text_col, bits))
+
+
+def _groups(rows: DataFrame) -> DataFrame:
     """(full_hash, keep_id, group_size) of every group of two or more equal texts."""
-    scratch = Scratch(docs.sparkSession, "exact-dedup")
-    keys = _keys(docs, id_col, text_col, prefix_chars)
-    # A length held by one row has one prefix held by one row: both counts come from one grouping.
-    by_prefix = keys.groupBy("len", "prefix").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    slots = scratch.table(slot_bitmap(by_prefix, "len", "prefix", bits=bits))
-    rows = in_bitmap(keys, slots, "len", "prefix", bits=bits).select("id", F.sha2("norm", 256).alias("full_hash"))
-    groups = rows.groupBy("full_hash").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    return scratch.table(groups.where("group_size > 1"))
+    grouped = rows.groupBy("full_hash").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    return grouped.where("group_size > 1").withColumnRenamed("full_hash", "group_hash")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, keep_id, group_size, kept, text_sha256.
 
     The groups are read back from a written table, so that both sides of the join are plain
     exchanges and adaptive execution can split the partition of a hot group.
     """
-    groups = duplicate_groups(docs, id_col, text_col, **options)
-    rows = docs.select(F.col(id_col), F.sha2(normal_text(F.col(text_col)), 256).alias("text_sha256"))
-    joined = rows.join(groups, rows.text_sha256 == groups.full_hash, "left")
-    keep = F.coalesce("keep_id", F.col(id_col))
+    scratch = Scratch(docs.sparkSession, "exact-dedup")
+    groups = scratch.table(_groups(survivors(docs, id_col, text_col, scratch)))
+    rows = full_hashes(docs, id_col, text_col)
+    joined = rows.join(groups, F.col("full_hash") == F.col("group_hash"), "left")
+    keep = F.coalesce("keep_id", "id")
     return joined.select(
-        id_col,
+        F.col("id").alias(id_col),
         keep.alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        keep.eqNullSafe(F.col(id_col)).alias("kept"),
-        "text_sha256",
+        keep.eqNullSafe(F.col("id")).alias("kept"),
+        F.col("full_hash").alias("text_sha256"),
     )
 
 
-def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the later copies; every column stays."""
-    groups = duplicate_groups(docs, id_col, text_col, **options)
-    key = F.sha2(normal_text(F.col(text_col)), 256)
-    marked = docs.select(F.col(id_col).alias("__id"), key.alias("__key"))
-    dropped = marked.join(groups, (marked["__key"] == groups.full_hash) & (marked["__id"] != groups.keep_id)).select("__id")
-    return docs.join(dropped, docs[id_col] == dropped["__id"], "left_anti")
+    scratch = Scratch(docs.sparkSession, "exact-dedup")
+    rows = survivors(docs, id_col, text_col, scratch)
+    groups = scratch.table(_groups(rows))
+    gone = rows.join(groups, F.col("full_hash") == F.col("group_hash")).where("id <> keep_id").select(F.col("id").alias("__gone")).distinct()
+    return docs.join(scratch.table(gone), docs[id_col].cast("long") == F.col("__gone"), "left_anti")

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from velario.llm.common import BITMAP_BITS, Scratch, flat, in_bitmap, range_hash, slices, slot_bitmap, word_hashes, word_spans
+from velario.llm.common import Scratch, flat, has_slot, in_bitmap, range_hash, slices, slot_bitmap, slot_bits, word_hashes, word_spans
 
 WINDOW = 50
 ANCHOR = 8
@@ -95,23 +95,6 @@ def phrases(docs: DataFrame, id_col: str, text_col: str, window: int) -> DataFra
     return source.mapInArrow(run, "id long, start int, windows int, block long, phrase long")
 
 
-_SLOTS = 1 << BITMAP_BITS
-
-
-def boundary_slots(first_seen: DataFrame) -> np.ndarray:
-    """Bit array over the slots of (phrase, id): 2 MB whatever the input's size."""
-    slot = f"pmod(pmod(phrase, {_SLOTS}) + 7919 * pmod(id, {_SLOTS}), {_SLOTS}) + 1"
-    rows = first_seen.groupBy(F.expr(f"bitmap_bucket_number({slot})").alias("bucket")).agg(F.expr(f"bitmap_construct_agg(bitmap_bit_position({slot}))").alias("bitmap"))
-    out = np.zeros((_SLOTS // 32768, 4096), np.uint8)
-    for r in rows.collect():
-        out[r["bucket"] - 1] = np.frombuffer(bytes(r["bitmap"]), np.uint8)
-    return out.ravel()
-
-
-def _slot(phrase: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    return (phrase % _SLOTS + 7919 * (ids % _SLOTS)) % _SLOTS
-
-
 def boundary_windows(docs: DataFrame, id_col: str, text_col: str, slots: np.ndarray, window: int) -> DataFrame:
     """(id, pos, hash) of the windows of first occurrences whose block holds other phrases."""
     shared = docs.sparkSession.sparkContext.broadcast(slots)  # 2 MB
@@ -122,8 +105,7 @@ def boundary_windows(docs: DataFrame, id_col: str, text_col: str, slots: np.ndar
             for part in slices(batch, "text"):
                 p = parse(part.column("text"), window)
                 ids = part.column("id").to_numpy(zero_copy_only=False)[p["owner"]]
-                slot = _slot(p["phrase"], ids)
-                hit = np.flatnonzero(bits[slot // 8] >> (slot % 8).astype(np.uint8) & 1)
+                hit = np.flatnonzero(has_slot(bits, p["phrase"], ids))
                 count = p["windows"][hit]
                 inside = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
                 at = np.repeat(p["at"][hit], count) + inside
@@ -152,7 +134,7 @@ def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     index = scratch.table(cut.groupBy("block", "phrase").agg(F.min("id").alias("id")))
     blocks = index.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("block")
     open_blocks = scratch.table(slot_bitmap(blocks, "block"))
-    slots = boundary_slots(in_bitmap(index, open_blocks, "block"))
+    slots = slot_bits(in_bitmap(index, open_blocks, "block"), "phrase", "id")
     edges = scratch.table(boundary_windows(docs, id_col, text_col, slots, window))
     single = _later(edges, "hash", scratch).select("id", F.col("pos").alias("a"), (F.col("pos") + window).alias("b"))
     # A document's spans are at most as many as its words.
