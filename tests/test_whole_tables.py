@@ -31,3 +31,11 @@ def test_clusters_of_all_clients(spark, tables):
     want = {v for r in fx.frame(spark, tables, fx.VARIANTS).collect() for v in (r["original"], r["variant"])}
     found = catalogue.QUERIES["cluster_variants"](spark, tables).select(F.explode("variants").alias("v")).collect()
     assert {r["v"] for r in found} == want and len(want) > 2100
+
+
+def test_cells_of_all_clients(spark, tables):
+    assert catalogue.QUERIES["ledger_scan"](spark, tables).select("code").distinct().count() == 2100
+    names = {r["name"] for r in fx.frame(spark, tables, fx.CLIENTS).select("name").collect()}
+    assert {r["text"] for r in catalogue.QUERIES["named_columns"](spark, tables).collect()} == names
+    found = catalogue.QUERIES["row_context"](spark, tables).collect()
+    assert {r["name_lower"] for r in found} == {n.lower() for n in names} and all(r["name_lower"] in r["snippet"].lower() for r in found)

@@ -274,11 +274,11 @@ def ledger_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
   select name_lower, arg_min(case when length(line) <= 120 then line else concat(rtrim(substr(line, 1, 119)), '…') end, doc_id * 1000000 + "row") as snippet from (
-    select lower(x.name) as name_lower, r.doc_id, r."row", r.line from (select distinct name from ({fx.CLIENTS}) c where k < 60) x
+    select lower(x.name) as name_lower, r.doc_id, r."row", r.line from (select distinct name from ({fx.CLIENTS}) c) x
     join (select doc_id, "row", string_agg(case when regexp_matches(value, '^B\\d{{7}}[0-9A-J]$') then concat('···', right(value, 3)) else value end, ' · ' order by col) as line from ({fx.CELLS}) c group by doc_id, "row") r
       on contains(lower(r.line), lower(x.name))) h group by name_lower""")
 def row_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wanted = fx.frame(spark, sf_dir, fx.CLIENTS).where("k < 60").select(F.lower("name").alias("name_lower"))
+    wanted = fx.frame(spark, sf_dir, fx.CLIENTS).select(F.lower("name").alias("name_lower"))
     return ledger.row_contexts(_cells(spark, sf_dir), wanted)
 
 

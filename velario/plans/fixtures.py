@@ -65,7 +65,7 @@ VARIANTS = f"""
 CELLS = f"""
   select cast(k % 3 as bigint) as doc_id, 0 as sheet_ord, 'Hoja' as sheet, cast(5 + k as int) as "row", c.col as col, 's' as vtype,
     case c.col when 1 then code when 2 then name when 3 then cif else cast(k * 10 as string) end as value
-  from ({CLIENTS}) x cross join (select 1 as col union all select 2 union all select 3 union all select 4) c where k < 2000
+  from ({CLIENTS}) x cross join (select 1 as col union all select 2 union all select 3 union all select 4) c
   union all
   select d.doc_id, 0, 'Hoja', h.r, h.col, 's', h.v
   from (select cast(0 as bigint) as doc_id union all select 1 union all select 2) d
