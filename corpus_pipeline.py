@@ -34,8 +34,8 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How often each document enters the mix: doc_id, source, size, target, taken, copies."""
-    return mixing.taken_words(docs)
+    """The mix: one row for each drawn copy, with the document's columns, copy, shard and sort_key."""
+    return mixing.mixed_rows(docs)
 
 
 STAGES = [

@@ -35,6 +35,7 @@ MAX_REPEATS = 2
 BLOCKS = 64
 SHARDS = 16
 SEED = 7
+MIX_COLUMNS = ("size", "source_size", "target", "taken", "copies", "copy", "shard", "sort_key")
 
 
 def targets(sizes: list[int], weights: list[float], total: float, cap: float) -> list[float]:
@@ -153,10 +154,18 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def mixed_rows(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The mix itself: one row for each drawn copy with the document's columns, copy and shard."""
-    _, drawn = mix(docs, id_col, **options)
-    picks = drawn.select(F.col("id").alias("__id"), "copy", "shard", "sort_key")
-    return docs.join(picks, docs[id_col] == picks["__id"]).drop("__id")
+    """The mix itself: one row for each drawn copy with the document's columns, copy, shard and sort_key.
+
+    Beside them stand size, source_size, target, taken and copies of the document, as in
+    ``taken_words``. A document column of one of these names gives way to the mix's own.
+    """
+    planned, drawn = mix(docs, id_col, **options)
+    # A document has cap copies at most, so its list of draws is short.
+    draws = drawn.groupBy("id").agg(F.sum("size").alias("taken"), F.count(F.lit(1)).alias("copies"), F.collect_list(F.struct("copy", "shard", "sort_key")).alias("__draws"))
+    facts = planned.join(draws, "id").select(F.col("id").alias("__id"), "size", "source_size", "target", "taken", "copies", "__draws")
+    own = docs.select(*[c for c in docs.columns if c == id_col or c not in MIX_COLUMNS])
+    joined = own.join(facts, own[id_col] == facts["__id"])
+    return joined.select(*own.columns, "size", "source_size", "target", "taken", "copies", F.inline("__draws"))
 
 
 def taken_words(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
