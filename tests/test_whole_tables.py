@@ -39,3 +39,20 @@ def test_cells_of_all_clients(spark, tables):
     assert {r["text"] for r in catalogue.QUERIES["named_columns"](spark, tables).collect()} == names
     found = catalogue.QUERIES["row_context"](spark, tables).collect()
     assert {r["name_lower"] for r in found} == {n.lower() for n in names} and all(r["name_lower"] in r["snippet"].lower() for r in found)
+
+
+def test_inverts_the_whole_mapping(spark, tables):
+    names = {r["code"]: r["name"] for r in fx.frame(spark, tables, fx.IDS).select("code", "name").collect()}
+    want = {}
+    for code in sorted(names):
+        short = f"[{'Cliente' if code.startswith('430') else 'Proveedor'}-{code[:-1]}]"
+        if len(names[code]) > len(want.get(short, "")):
+            want[short] = names[code]
+    got = catalogue.QUERIES["mapping_invert"](spark, tables).collect()
+    assert {r["original"]: r["codename"] for r in got} == want and len(got) == len(want) == 213
+
+
+def test_reports_every_note(spark, tables):
+    names = {r["id"]: r["name"] for r in fx.frame(spark, tables, fx.NOTES).select("id", "name").collect()}
+    got = {r["doc_id"]: (r["surviving"], r["verifiable"], r["is_clean"]) for r in catalogue.QUERIES["verify_report"](spark, tables).collect()}
+    assert got == {i: ("", False, False) if i % 7 == 1 else (n, True, False) if i % 5 == 0 else ("", True, True) for i, n in names.items()}

@@ -346,9 +346,10 @@ def mapping_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.flatten(_mapping(spark, sf_dir))
 
 
-@query(f"select codename as original, arg_max(original, length(original)) as codename from (select original, replace(codename, right(codename, 2), ']') as codename from ({MAPPING}) m where length(original) > 0 and entry_ord % 10 = 3) x group by codename")
+@query(f"select codename as original, arg_max(original, length(original) * 10000000 - entry_ord) as codename from (select original, entry_ord, replace(codename, right(codename, 2), ']') as codename from ({MAPPING}) m where length(original) > 0) x group by codename")
 def mapping_invert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _mapping(spark, sf_dir).where("entry_ord % 10 = 3").withColumn("codename", F.expr("replace(codename, right(codename, 2), ']')"))
+    """Codenames lose their last digit, so ten entries share one: the longest original stands, the first of equals."""
+    rows = _mapping(spark, sf_dir).withColumn("codename", F.expr("replace(codename, right(codename, 2), ']')"))
     return replace.invert_mapping(rows)
 
 
@@ -381,10 +382,10 @@ def leak_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replace.find_surviving(rows.select("code", text.alias("text")), _mapping(spark, sf_dir), ("code",))
 
 
-@query(f"select id as doc_id, case when id % 5 = 0 then name else '' end as surviving, id % 7 <> 1 as verifiable, id % 7 <> 1 and id % 5 <> 0 as is_clean from ({fx.NOTES}) n where not (id % 7 = 1 and id % 5 = 0)")
+@query(f"select id as doc_id, case when id % 5 = 0 and id % 7 <> 1 then name else '' end as surviving, id % 7 <> 1 as verifiable, id % 7 <> 1 and id % 5 <> 0 as is_clean from ({fx.NOTES}) n")
 def verify_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every seventh document comes out empty from a large source: not verifiable."""
-    rows = fx.frame(spark, sf_dir, fx.NOTES).where("not (id % 7 = 1 and id % 5 = 0)")
+    """Every seventh document comes out empty from a large source: no surviving name, not verifiable, so not clean."""
+    rows = fx.frame(spark, sf_dir, fx.NOTES)
     sources = rows.select(F.col("id").alias("doc_id"), F.lit(20_000).alias("length"))
     text = F.when(F.col("id") % 7 == 1, F.lit("")).when(F.col("id") % 5 == 0, F.col("text")).otherwise(F.replace("text", F.col("name"), F.lit("[X]")))
     out = replace.verify_report(sources, rows.select(F.col("id").alias("doc_id"), text.alias("text")), _mapping(spark, sf_dir))
