@@ -4,7 +4,9 @@ The base kinds (assign, access, hex) are patterns with length rules. The method
 ``guess``: values after a credential cue (``pwd:``, ``passphrase =``, ``auth ...``) and values that
 ``assign`` found are segmented at least cost into dictionary words, dates, repeats, keyboard walks
 and brute-force characters; a value whose cheapest segmentation costs ``MIN_GUESSES_LOG10`` or more
-is hard to guess, so it is a real secret and not a placeholder.
+is hard to guess, so it is a real secret and not a placeholder. After a cue and ``:`` or ``=`` the
+cost alone decides; after a cue and bare blanks, where prose goes on, the value must hold a digit
+too. A value that is itself a cue is none. Behind a value that fails, the search resumes at its start.
 
 Edge cases: null text is empty and has no spans; repeated rows give repeated results; an empty
 table gives an empty result; texts are searched whole; positions are code points. Values longer
@@ -28,7 +30,8 @@ DP_WINDOW = 64
 ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-CUE = re.compile(r"""(?i:(?<![a-z])(?:pwd|passphrase|credentials?|private_?key|auth|bearer))["']?\x20*[:=\x20]\x20*["']?([^\s"']{6,})""", re.ASCII)
+CUE = re.compile(r"""(?i:(?<![a-z])(?:pwd|passphrase|credentials?|private_?key|auth|bearer))["']?\x20*([:=\x20])\x20*["']?([^\s"']{6,})""", re.ASCII)
+LONE_CUE = re.compile("(?i:pwd|passphrase|credentials?|private_?key|auth|bearer)[:=]*", re.ASCII)
 
 #: Common passwords and words, most common first; fixed values.
 WORDS = (
@@ -118,9 +121,13 @@ def find_spans(text: str | None) -> list[tuple[str, int, int, float]]:
         found += [("access", m.start(), m.end(), guess_cost(m[0])) for m in ACCESS.finditer(text) if len(m[0]) >= 20]
     found += [("hex", m.start(), m.end(), guess_cost(m[0])) for m in HEX.finditer(text)]
     if any(w in low for w in ("pwd", "passphrase", "credential", "private", "auth", "bearer")):
-        for m in CUE.finditer(text):
-            if m.span(1) not in values and (cost := guess_cost(m[1])) >= MIN_GUESSES_LOG10 and re.search("[0-9]", m[1]):
-                found.append(("guess", *m.span(1), cost))
+        m = CUE.search(text)
+        while m:
+            hard = not LONE_CUE.fullmatch(m[2]) and (m[1] != " " or re.search("[0-9]", m[2])) and (cost := guess_cost(m[2])) >= MIN_GUESSES_LOG10
+            if hard and m.span(2) not in values:
+                found.append(("guess", *m.span(2), cost))
+            # A value that fails may be the next cue, as in "auth: Bearer ...".
+            m = CUE.search(text, m.end() if hard else m.start(2))
     return sorted(((k, a, b, round(c, 4)) for k, a, b, c in found), key=lambda s: (s[1], KINDS.index(s[0])))
 
 
