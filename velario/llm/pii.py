@@ -9,6 +9,9 @@ Speed: a text is only searched for a kind when the character that every match mu
 it, and e-mail search runs inside maximal runs of the characters that a match can hold, which
 gives exactly the matches of the whole-text search.
 
+An IBAN is cut to its country's length before mod-97 decides, so words behind it do no harm; for a
+country code without a known length each group border is tried, the last first.
+
 Edge cases: null text is empty and has no spans; repeated rows give repeated results; an empty
 table gives an empty result; texts of any length are searched whole; positions are code points.
 """
@@ -36,6 +39,16 @@ IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+#: Characters of an IBAN by country; fixed values.
+IBAN_LENGTHS = {
+    code: length
+    for length, codes in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+        23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+        28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for code in codes.split()
+}
 SSN = re.compile(r"(?<![0-9-])([0-9]{3})-([0-9]{2})-([0-9]{4})(?![0-9-])")
 
 #: Words that raise the score of a kind when they stand near a span; fixed values.
@@ -104,6 +117,28 @@ def _emails(text: str) -> Iterator[re.Match]:
         at = text.find("@", end)
 
 
+def _iban_ends(text: str, m: re.Match) -> list[int]:
+    """Where the number may end: at its country's length, for other codes at any group border, the last first."""
+    length = IBAN_LENGTHS.get(m[0][:2])
+    if length is None:
+        return [m.end(), *(m.start() + i for i in reversed(range(len(m[0]))) if m[0][i] == " ")]
+    places = [i for i in range(m.start(), m.end()) if text[i] != " "]
+    if len(places) < length or (len(places) > length and places[length] == places[length - 1] + 1):
+        return []
+    return [places[length - 1] + 1]
+
+
+def _ibans(text: str) -> list[tuple[int, int]]:
+    """Spans of right numbers. A match may hold another number behind its own, so the search goes on at the next place."""
+    spans, m = [], IBAN.search(text)
+    while m:
+        end = next((e for e in _iban_ends(text, m) if mod97(text[m.start() : e])), None)
+        if end:
+            spans.append((m.start(), end))
+        m = IBAN.search(text, end or m.start() + 1)
+    return spans
+
+
 def score(text: str, kind: str, start: int, end: int) -> float:
     near = f"{text[max(0, start - CONTEXT) : start]} {text[end : end + CONTEXT]}".lower()
     value = START_SCORE[kind] + 0.2 * any(c in near for c in CUES[kind]) - 0.2 * any(c in near for c in DOUBTS)
@@ -114,16 +149,17 @@ def find_spans(text: str | None) -> list[tuple[str, int, int, float]]:
     """(kind, start, end, score), by kind in the order of KINDS, then by start."""
     if not text:
         return []
-    found = [("email", m) for m in _emails(text)]
+    found, ibans = [("email", m) for m in _emails(text)], []
     if "." in text or "+" in text or re.search("[0-9]", text):
         found += [("ip", m) for m in IP.finditer(text) if valid_ip(m[0])]
         found += [("card", m) for m in CARD.finditer(text) if valid_card(m[0])]
         if "+" in text:
             found += [("phone", m) for m in PHONE.finditer(text) if valid_phone(m[0])]
-        found += [("iban", m) for m in IBAN.finditer(text) if mod97(m[0])]
+        ibans = _ibans(text)
         if "-" in text:
             found += [("ssn", m) for m in SSN.finditer(text) if valid_ssn(m[0])]
-    spans = [(kind, m.start(), m.end(), score(text, kind, m.start(), m.end())) for kind, m in found]
+    ends = [(kind, m.start(), m.end()) for kind, m in found] + [("iban", *span) for span in ibans]
+    spans = [(kind, a, b, score(text, kind, a, b)) for kind, a, b in sorted(ends, key=lambda s: KINDS.index(s[0]))]
     return [s for s in spans if s[0] in BASE_KINDS or s[3] >= MIN_SCORE]
 
 
