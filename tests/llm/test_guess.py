@@ -25,3 +25,11 @@ def guessed(text):
 )
 def test_cost_decides_after_a_cue(text, want):
     assert guessed(text) == want
+
+
+def test_long_values_are_costed_whole():
+    cost = secrets.guess_cost
+    for unit in ("x", "ab", "abc", "q7Zp"):
+        assert cost(unit * 200) < cost(unit * 16) + 2, unit
+    assert [k for k, *_ in secrets.find_spans("token=" + "x" * 200)] == ["assign"]
+    assert cost("asdf" + "x9Kq7Zp3Lw" * 10) > 8 and cost("") == 0

@@ -9,8 +9,8 @@ cost alone decides; after a cue and bare blanks, where prose goes on, the value
 too. A value that is itself a cue is none. Behind a value that fails, the search resumes at its start.
 
 Edge cases: null text is empty and has no spans; repeated rows give repeated results; an empty
-table gives an empty result; texts are searched whole; positions are code points. Values longer
-than ``DP_WINDOW`` are costed window by window and the costs added, so cost stays linear.
+table gives an empty result; texts are searched whole; positions are code points. Values of any
+length are costed whole, in time linear in their length.
 """
 
 from __future__ import annotations
@@ -25,7 +25,6 @@ from velario.llm.pii import scan
 KINDS = ("assign", "access", "hex", "guess")
 BASE_KINDS = KINDS[:3]
 MIN_GUESSES_LOG10 = 8.0
-DP_WINDOW = 64
 
 ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -57,47 +56,42 @@ def _alphabet(text: str) -> int:
     return sum(n for n, pattern in ((26, "[a-z]"), (26, "[A-Z]"), (10, "[0-9]"), (33, "[^A-Za-z0-9]")) if re.search(pattern, text))
 
 
-def guess_cost(value: str) -> float:
-    """log10 of the guesses that the cheapest segmentation takes."""
-    return sum(_window_cost(value[i : i + DP_WINDOW]) for i in range(0, len(value), DP_WINDOW))
+def _runs(n: int, same) -> list[int]:
+    """How many places in a row, from each on, ``same`` holds for."""
+    out = [0] * (n + 1)
+    for i in range(n - 1, -1, -1):
+        out[i] = out[i + 1] + 1 if same(i) else 0
+    return out
 
 
-def _window_cost(value: str) -> float:
+def guess_cost(value: str) -> float:
+    """log10 of the guesses that the cheapest segmentation takes."""
     n = len(value)
     per_char = math.log10(max(10, _alphabet(value)))
     plain = value.lower()
     leet = plain.translate(LEET)
-    pieces: list[list[tuple[int, float]]] = [[] for _ in range(n)]
+    # Places that equal the one ``unit`` further on; keys near the next one.
+    cycles = {unit: _runs(n - unit, lambda i, unit=unit: value[i] == value[i + unit]) for unit in (1, 2, 3, 4) if n >= 2 * unit}
+    walks = _runs(n - 1, lambda i: _near(plain[i], plain[i + 1])) if n else []
+    best = [0.0] + [math.inf] * n
     for i in range(n):
+        pieces = [(i + 1, per_char)]
         for j in range(i + 2, min(n, i + LONGEST) + 1):
             rank = RANK.get(plain[i:j])
             if rank:
-                pieces[i].append((j, math.log10(rank + 1) + (0 if value[i:j] == plain[i:j] else math.log10(2))))
+                pieces.append((j, math.log10(rank + 1) + (0 if value[i:j] == plain[i:j] else math.log10(2))))
             elif leet[i:j] in RANK:
-                pieces[i].append((j, math.log10(RANK[leet[i:j]] + 1) + math.log10(4)))
+                pieces.append((j, math.log10(RANK[leet[i:j]] + 1) + math.log10(4)))
         m = DATE.match(value, i)
         if m:
-            pieces[i].append((m.end(), math.log10(365 * 120)))
-        j = i + 1
-        while j < n and value[j] == value[i]:
-            j += 1
-        if j - i >= 3:
-            pieces[i].append((j, per_char + math.log10(j - i)))
-        for unit in (2, 3, 4):
-            j = i + unit
-            while value[j : j + unit] == value[i : i + unit] and j + unit <= n:
-                j += unit
-            if j - i >= 2 * unit:
-                pieces[i].append((j, unit * per_char + math.log10((j - i) // unit)))
-        j = i + 1
-        while j < n and _near(plain[j - 1], plain[j]):
-            j += 1
-        if j - i >= 4:
-            pieces[i].append((j, math.log10(len(PLACE)) + 0.35 * (j - i)))
-    best = [0.0] + [math.inf] * n
-    for i in range(n):
-        best[i + 1] = min(best[i + 1], best[i] + per_char)
-        for j, cost in pieces[i]:
+            pieces.append((m.end(), math.log10(365 * 120)))
+        for unit, run in cycles.items():
+            times = run[i] // unit + 1 if i < len(run) else 1
+            if times >= (3 if unit == 1 else 2):
+                pieces.append((i + unit * times, unit * per_char + math.log10(times)))
+        if i < n - 1 and walks[i] >= 3:
+            pieces.append((i + walks[i] + 1, math.log10(len(PLACE)) + 0.35 * (walks[i] + 1)))
+        for j, cost in pieces:
             best[j] = min(best[j], best[i] + cost)
     return best[n]
 
