@@ -1,19 +1,23 @@
-"""Substring dedup by relative Lempel-Ziv parsing over content-defined reference phrases.
+"""Substring dedup by minimiser phrases and window hashes, in place of relative Lempel-Ziv parsing.
+
+No text is parsed into longest factors against a reference: a free-running parse would compare all
+pairs of blocks of the corpus. Phrases and windows meet by hash instead, and since every equal
+window falls into one block, the words removed are those that such a parse would find.
 
 A window is ``WINDOW`` consecutive words. Every text is cut into phrases: maximal runs of windows
 with the same minimiser (the least hash of an 8-word group in the window). Equal windows have
 equal minimisers wherever they stand, so all phrases that can hold a window fall into one
-reference block, the phrases of its minimiser. Parsing is greedy:
+block, the phrases of its minimiser. Two steps:
 
-1. A phrase that stands whole in a document with a smaller id is one long factor: all of it is
-   duplicate. Phrases are compared by hash and the index keeps each phrase's smallest id.
-2. At factor boundaries, where a phrase is new but its block holds other phrases, its windows are
-   checked one by one against the windows of all phrases of the block. Only the first occurrence
-   of a phrase needs that.
+1. A phrase that stands whole in a document with a smaller id is duplicate as a whole. Phrases are
+   compared by hash and the index keeps each phrase's smallest id.
+2. Where a phrase is new but its block holds other phrases, its windows are checked one by one, by
+   hash, against the windows of all phrases of the block. Only the first occurrence of a phrase
+   needs that.
 
 The duplicate spans of both kinds cover exactly the windows whose words also start in a document
 with a smaller id. What is shuffled is one row for each phrase (about 1 for 22 words), the windows
-at boundaries, and the texts of documents that lose words; groups are minima with map-side
+of step 2, and the texts of documents that lose words; groups are minima with map-side
 combining, so a passage in a third of all documents costs a task one row.
 
 Edge cases: null or empty text has no words; texts shorter than a window lose nothing; windows
