@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text handled at once inside a task; one text may exceed it and is then handled alone.
@@ -208,6 +208,44 @@ def in_bitmap(rows: DataFrame, bitmap: DataFrame, *keys: str, bits: int = BITMAP
     return found.where(bit == 1 if present else F.coalesce(bit, F.lit(0)) == 0).select(*rows.columns)
 
 
+def bits_for(count: int) -> int:
+    """log2 of the slots for ``count`` members: about 16 slots each, 64 KB to 16 MB in all."""
+    return min(27, max(19, int(count).bit_length() + 4))
+
+
+class SlotSet:
+    """Membership of longs, or pairs of longs, as a bit array: true for all members, for others by chance."""
+
+    def __init__(self, bits: int, array: np.ndarray):
+        self.bits, self.array = bits, array
+
+    def has(self, a: np.ndarray, b: np.ndarray | None = None) -> np.ndarray:
+        mask = (1 << self.bits) - 1
+        slot = a & mask if b is None else ((a & mask) + 7919 * (b & mask)) & mask
+        return (self.array[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def slot_sets(rows: DataFrame, a: str, conditions: list[Column], b: str | None = None, bits: list[int] | None = None) -> list[SlotSet]:
+    """For each condition the slot set of the rows that meet it, sized by their number unless ``bits`` says.
+
+    At most 16 MB each reach the driver, whatever the input's size.
+    """
+    if bits is None:
+        counts = rows.agg(*[F.count_if(c).alias(f"c{i}") for i, c in enumerate(conditions)]).first()
+        bits = [bits_for(counts[f"c{i}"]) for i in range(len(conditions))]
+    slots = []
+    for i, (c, n) in enumerate(zip(conditions, bits, strict=True)):
+        size = 1 << n
+        slot = f"pmod({a}, {size})" if b is None else f"pmod(pmod({a}, {size}) + 7919 * pmod({b}, {size}), {size})"
+        slots.append(F.when(c, F.struct(F.lit(i).alias("i"), F.expr(f"{slot} + 1").alias("slot"))))
+    each = rows.select(F.inline(F.filter(F.array(*slots), lambda x: x.isNotNull())))
+    found = each.groupBy("i", F.expr("bitmap_bucket_number(slot)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(slot))").alias("bitmap"))
+    arrays = [np.zeros((max(1, (1 << n) // 32768), 4096), np.uint8) for n in bits]
+    for r in found.collect():
+        arrays[r["i"]][r["bucket"] - 1] = np.frombuffer(bytes(r["bitmap"]), np.uint8)
+    return [SlotSet(n, x.ravel()) for n, x in zip(bits, arrays, strict=True)]
+
+
 _SLOTS = 1 << BITMAP_BITS
 
 

@@ -17,7 +17,7 @@ def _least(links: DataFrame) -> DataFrame:
 
 
 def _large_star(links: DataFrame) -> DataFrame:
-    both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    both = links.select(F.inline(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))))
     least = _least(both).withColumn("m", F.least("c", "m"))
     return both.where("v > u").join(least, F.col("u") == F.col("c")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
@@ -29,14 +29,17 @@ def _small_star(links: DataFrame) -> DataFrame:
     return moved.unionByName(least.select(F.col("c").alias("u"), F.col("m").alias("v"))).distinct()
 
 
+def _are_stars(links: DataFrame) -> bool:
+    """Whether every node leads to one node only, which leads nowhere."""
+    ends = links.select(F.inline(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into")), F.struct(F.col("v").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("into")))))
+    return ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("into").alias("into")).where("out > 1 or (out > 0 and into > 0)").isEmpty()
+
+
 def connected_components(links: DataFrame, scratch: Scratch) -> DataFrame:
-    """links: (u, v). Returns (node, component) of every linked node but the components' smallest."""
+    """links: (u, v); null ends are no links. Returns (node, component) of every linked node but the components' smallest."""
     state = scratch.table(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    seen = None
-    while True:
-        mark = state.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
-        if mark == seen or not mark["n"]:
-            return state.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        seen, old = mark, state
+    while not _are_stars(state):
+        old = state
         state = scratch.table(_small_star(_large_star(state)))
         scratch.drop(old)
+    return state.select(F.col("u").alias("node"), F.col("v").alias("component"))
