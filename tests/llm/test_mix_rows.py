@@ -6,6 +6,8 @@ import random
 from collections import Counter
 
 import corpus_pipeline
+from pyspark.sql import functions as F
+
 from velario.llm import mixing
 
 
@@ -21,3 +23,81 @@ def test_source_mix_gives_drawn_copies(spark):
         assert tuple(r[c] for c in frame.columns) == docs[r["doc_id"]]
         assert (r["copies"], r["taken"], r["size"]) == want[r["doc_id"]] and 0 <= r["shard"] < mixing.SHARDS and r["sort_key"] is not None
     assert len({(r["doc_id"], r["copy"]) for r in got}) == len(got) and len({r["shard"] for r in got}) == mixing.SHARDS
+
+
+def by_source(rows):
+    size, taken, goal = {}, {}, {}
+    for r in rows:
+        size[r["source"]] = size.get(r["source"], 0) + r["size"]
+        taken[r["source"]] = taken.get(r["source"], 0) + r["taken"]
+        goal[r["source"]] = (r["target"], r["source_size"])
+    return size, taken, goal
+
+
+def checked(spark, docs, sources):
+    """Every row against the contract: sizes by a plain count, targets by plain sharing, limits, reruns."""
+    frame = spark.createDataFrame([(i, t, sources[k]) for k, (i, t) in enumerate(docs)], "doc_id long, text string, source string")
+    keyed = frame.withColumn("doc_id", F.struct("doc_id", "source"))
+    rows = [{"doc_id": r["doc_id"]["doc_id"], "source": r["doc_id"]["source"], **{c: r[c] for c in r.asDict() if c != "doc_id"}} for r in mixing.taken_words(keyed).collect()]
+    assert sorted((str(r["doc_id"]), r["size"]) for r in rows) == sorted((str(i), len((t or "").split())) for i, t in docs)
+    size, taken, goal = by_source(rows)
+    names = sorted(size, key=lambda s: (s is None, s or ""))
+    want, left, free = {}, 1.5 * sum(size.values()), {s: (5, 2, 1)[k % 3] for k, s in enumerate(names)}
+    while True:
+        share = {s: left * w / sum(free.values()) for s, w in free.items()}
+        full = [s for s in share if share[s] > 2 * size[s]]
+        if not full:
+            break
+        for s in full:
+            want[s] = 2.0 * size[s]
+            left -= want[s]
+            del free[s]
+    want |= share
+    assert {s: goal[s][1] for s in names} == size and all(abs(goal[s][0] - want[s]) < 1e-6 * want[s] + 1e-9 for s in names)
+    assert all(r["taken"] in (0, r["size"], 2 * r["size"]) and r["taken"] == r["size"] * r["copies"] for r in rows)
+    again = mixing.taken_words(keyed).collect()
+    assert sorted(map(str, again)) == sorted(str(r) for r in mixing.taken_words(keyed).collect())
+    return rows, size, taken, want
+
+
+def test_targets_are_met(spark, monkeypatch):
+    rng = random.Random(8)
+    docs = [(i, " ".join(["w"] * rng.choice([0, 1, 5, 30, 90]))) for i in range(4000)]
+    sources = [rng.choice(["hot", "hot", "hot", "b", "c", None]) for _ in docs]
+    for limit in (mixing.SPLIT_ROWS, 2):  # 2: the split block goes down the hash bucket by bucket
+        monkeypatch.setattr(mixing, "SPLIT_ROWS", limit)
+        _, _, taken, want = checked(spark, docs, sources)
+        assert all(abs(taken[s] - want[s]) <= 45 for s in want)
+
+
+def test_repeated_and_null_ids(spark):
+    docs = [(1, "a b c d"), (1, "a b c d"), (1, "e f"), (None, "g h i"), (None, None), (2, "")] * 3
+    rows, size, taken, want = checked(spark, docs, ["s", "s", "t", "t", None, "u"] * 3)
+    assert len(rows) == 18 and all(abs(taken[s] - want[s]) <= 12 for s in want)
+
+
+def test_few_large_documents(spark):
+    docs = [(i, " ".join(["w"] * n)) for i, n in enumerate((2000, 30, 5, 7, 9, 11, 300, 250, 40, 60))]
+    rows, size, taken, want = checked(spark, docs, ["a"] * 10)
+    # 1,356 words are wanted beside one pass; all but the largest hold 712, the largest 2,000.
+    assert taken["a"] in (2712 + 712, 2712 + 2000)
+    rows, size, taken, want = checked(spark, [d for d in docs if d[0]], ["a"] * 9)
+    assert abs(taken["a"] - want["a"]) <= max(r["size"] for r in rows if r["copies"] == 1) / 2
+
+
+def test_clashing_columns(spark):
+    names = ["copy", "shard", "sort_key", "size", "__size", "__key", "__text", "__draws", "c0", "keys", "draws", "block"]
+    frame = spark.createDataFrame([(i, "w " * (i % 9), "s", *[f"{n}{i}" for n in names]) for i in range(50)], "doc_id long, text string, source string, " + ", ".join(f"{n} string" for n in names))
+    got = mixing.mixed_rows(frame).collect()
+    assert got and all(r[n] == f"{n}{r['doc_id']}" for r in got for n in names if n not in mixing.MIX_COLUMNS)
+    assert mixing.mixed_rows(frame.where("false")).collect() == []
+
+
+def test_shards_are_shuffled(spark):
+    frame = spark.createDataFrame([(i, "w w w", "ab"[i % 2]) for i in range(2000)], "doc_id long, text string, source string")
+    rows = mixing.mixed_rows(frame).collect()
+    assert [(r["shard"], r["sort_key"]) for r in rows] == sorted((r["shard"], r["sort_key"]) for r in rows)
+    first = [r["doc_id"] for r in rows if r["shard"] == 0]
+    assert first != sorted(first) and {d % 2 for d in first} == {0, 1}
+    told = {r["doc_id"]: r["shards"] for r in mixing.taken_words(frame).collect()}
+    assert all(str(r["shard"]) in told[r["doc_id"]].split(",") for r in rows)

@@ -116,4 +116,5 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     rows = survivors(docs, id_col, text_col, scratch)
     groups = scratch.table(_groups(rows))
     gone = rows.join(groups, F.col("full_hash") == F.col("group_hash")).where("id <> keep_id").select(F.col("id").alias("__gone")).distinct()
-    return docs.join(scratch.table(gone), docs[id_col].cast("long") == F.col("__gone"), "left_anti")
+    gone = scratch.table(gone)
+    return docs.join(gone, docs[id_col].cast("long") == gone["__gone"], "left_anti")
