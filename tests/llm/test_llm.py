@@ -229,12 +229,13 @@ def test_decontamination(spark):
                 item[at : at + rng.randint(0, 1)] = rng.choices(letters, k=rng.randint(0, 1))
             text = text + "".join(item).upper() + text
         docs[k] = text
-    docs |= {500: None, 501: "", 502: "an exact match"}
+    docs |= {500: None, 501: "", 502: "an exact match", 503: " exact "}
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = rows_of(decontam.find_leaks(table(spark, docs.items()), bench, block_chars=300))
     n = decontam.normalise
     for k, text in docs.items():
-        want = {i for i, t in items if n(t) and brute.distance_in(n(t), n(text)) <= int(decontam.ERROR_RATE * len(n(t)))} if text else set()
+        far = lambda t: int(decontam.ERROR_RATE * len(t))
+        want = {i for i, t in items if n(t) and (n(t) == n(text) or len(n(t)) >= decontam.MIN_CHARS and brute.distance_in(n(t), n(text)) <= far(n(t)))} if text else set()
         assert {h["item_id"] for h in got[k]["hits"]} == want, k
     clean = decontam.decontaminate(table(spark, docs.items()), bench)
     assert {r["doc_id"] for r in clean.collect()} == {k for k, r in got.items() if not r["hits"]}

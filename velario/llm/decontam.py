@@ -8,13 +8,18 @@ least edit distance of the item to any substring around the hit.
 Items come in blocks of at most ``BLOCK_CHARS`` characters, so what a task holds is bounded; every
 block is one pass over the documents. Normalisation: lower case, white space runs to one space.
 
+An item under ``MIN_CHARS`` characters, which prose holds by chance (``a`` in ``banana``), counts
+only where it is a document's whole text. Longer items count anywhere, inside words too.
+
 Edge cases: null or empty items match nothing; null or empty texts hold nothing; repeated items
-and repeated documents are each reported; an empty documents table gives an empty result and an
-empty item table gives documents without hits; items with e = 0 must stand unchanged.
+and repeated documents are each reported, null ids too; an empty documents table gives an empty
+result and an empty item table gives documents without hits. Texts are searched whole, in time
+linear in the text for each item that shares a piece with it.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import ahocorasick
@@ -26,6 +31,8 @@ from pyspark.sql import types as T
 from velario.llm.common import slices
 
 ERROR_RATE = 0.05
+#: Shorter items, in normalised characters, count only as a whole text.
+MIN_CHARS = 20
 BLOCK_CHARS = 4_000_000
 
 
@@ -73,44 +80,78 @@ def myers(peq: dict[str, int], m: int, text: str, most: int) -> tuple[int, int]
 
 
 class ItemIndex:
-    def __init__(self, items: list[tuple[int, str]], error_rate: float = ERROR_RATE):
+    """Automaton over the pieces of all items; items under ``min_chars`` stand in a table of whole texts."""
+
+    def __init__(self, items: list[tuple[int, str]], error_rate: float = ERROR_RATE, min_chars: int = MIN_CHARS):
         self.items = []
+        self.whole: dict[str, list[int]] = {}
         found: dict[str, list[tuple[int, int]]] = {}
         for item_id, text in items:
             text = normalise(text)
-            if text:
+            if len(text) >= min_chars:
                 errors = int(error_rate * len(text))
                 for offset, piece in pieces(text, errors):
                     found.setdefault(piece, []).append((len(self.items), offset))
                 self.items.append((item_id, text, errors, masks(text)))
+            elif text:
+                self.whole.setdefault(text, []).append(item_id)
         self.automaton = ahocorasick.Automaton()
         for piece, owners in found.items():
             self.automaton.add_word(piece, (len(piece), owners))
         if found:
             self.automaton.make_automaton()
 
-    def search(self, text: str | None) -> list[tuple[int, int, int]]:
-        """(item_id, distance, end in the normalised text), at most one for each item."""
+    def search(self, text: str | None) -> list[tuple[int | None, int, int]]:
+        """(item_id, distance, end in the normalised text), at most one for each item.
+
+        Windows of one item that overlap are verified as one, so a text that repeats a piece is
+        read once for each item that has the piece.
+        """
         text = normalise(text)
-        if not text or not self.items:
+        if not text:
             return []
-        out: dict[int, tuple[int, int]] = {}
-        tried: dict[int, list[int]] = {}
-        for last, (length, owners) in self.automaton.iter(text):
-            for k, offset in owners:
-                if k in out:
-                    continue
-                start = last + 1 - length - offset
-                _, item, errors, peq = self.items[k]
-                # A window tried before with nearly this start covers any match of this one too.
-                if any(start == s for s in tried.setdefault(k, [])):
-                    continue
-                tried[k].append(start)
-                low = max(0, start - errors)
-                hit = myers(peq, len(item), text[low : start + len(item) + errors], errors)
-                if hit:
-                    out[k] = (hit[0], low + hit[1])
-        return sorted((self.items[k][0], d, end) for k, (d, end) in out.items())
+        out = [(item_id, 0, len(text)) for item_id in self.whole.get(text, ())]
+        starts: dict[int, set[int]] = {}
+        if self.items:
+            for last, (length, owners) in self.automaton.iter(text):
+                for k, offset in owners:
+                    starts.setdefault(k, set()).add(last + 1 - length - offset)
+        for k, own in starts.items():
+            item_id, item, errors, peq = self.items[k]
+            best = None
+            for low, high in _merged(sorted(own), errors, len(item) + errors):
+                hit = myers(peq, len(item), text[max(0, low) : high], errors)
+                if hit and (best is None or hit[0] < best[0]):
+                    best = (hit[0], max(0, low) + hit[1])
+            if best:
+                out.append((item_id, *best))
+        return sorted(out, key=lambda h: (h[0] is None, h[0] or 0, h[1:]))
+
+
+def _merged(starts: list[int], before: int, after: int) -> Iterator[tuple[int, int]]:
+    """Windows (start - before, start + after), those that overlap as one."""
+    low = high = None
+    for s in starts:
+        if low is None:
+            low, high = s - before, s + after
+        elif s - before <= high:
+            high = s + after
+        else:
+            yield low, high
+            low, high = s - before, s + after
+    if low is not None:
+        yield low, high
+
+
+_indexes: dict[str, ItemIndex] = {}
+
+
+def _index(key: str, items: list[tuple[int, str]], error_rate: float, min_chars: int) -> ItemIndex:
+    """The index of one block, built once for each Python worker; a worker keeps the last one only."""
+    if key not in _indexes:
+        _indexes.clear()
+        _indexes[key] = ItemIndex(items, error_rate, min_chars)
+    return _indexes[key]
 
 
 HIT = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("distance", T.LongType()), T.StructField("end", T.LongType())]))
@@ -129,19 +170,24 @@ def item_blocks(items: DataFrame, item_col: str, text_col: str, block_chars: int
     yield block
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", error_rate: float = ERROR_RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """``docs`` with column ``hits``: the items that each whole text holds. A map for each block."""
-    out = docs.withColumn("hits", F.array().cast(HIT))
+def find_leaks(
+    docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", error_rate: float = ERROR_RATE, min_chars: int = MIN_CHARS, block_chars: int = BLOCK_CHARS, hits_col: str = "hits"
+) -> DataFrame:
+    """``docs`` with column ``hits_col``: the items that each whole text holds. A map for each block.
+
+    A column of that name in ``docs`` is replaced.
+    """
+    out = docs.withColumn(hits_col, F.array().cast(HIT))
     for block in item_blocks(items, item_col, item_text_col, block_chars):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
+        shared, key = docs.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = ItemIndex(shared.value, error_rate)
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, key=key) -> Iterator[pa.RecordBatch]:
+            index = _index(key, shared.value, error_rate, min_chars)
             for batch in batches:
                 for part in slices(batch, text_col):
-                    before = part.column("hits").to_pylist()
+                    before = part.column(hits_col).to_pylist()
                     now = [[dict(zip(("item_id", "distance", "end"), h, strict=True)) for h in index.search(t)] for t in part.column(text_col).to_pylist()]
-                    at = part.schema.get_field_index("hits")
+                    at = part.schema.get_field_index(hits_col)
                     columns = [part.column(i) for i in range(part.num_columns)]
                     columns[at] = pa.array([a + b for a, b in zip(before, now, strict=True)], _ARROW)
                     yield pa.RecordBatch.from_arrays(columns, names=part.schema.names)
@@ -151,5 +197,6 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """``docs`` without those that hold a test item."""
-    return find_leaks(docs, items, **options).where(F.size("hits") == 0).drop("hits")
+    """``docs`` without those that hold a test item; all columns stay."""
+    mark = next(name for name in (f"__hits{i}" for i in range(len(docs.columns) + 1)) if name not in docs.columns)
+    return find_leaks(docs, items, hits_col=mark, **options).where(F.size(mark) == 0).drop(mark)
