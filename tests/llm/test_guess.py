@@ -33,3 +33,17 @@ def test_long_values_are_costed_whole():
         assert cost(unit * 200) < cost(unit * 16) + 2, unit
     assert [k for k, *_ in secrets.find_spans("token=" + "x" * 200)] == ["assign"]
     assert cost("asdf" + "x9Kq7Zp3Lw" * 10) > 8 and cost("") == 0
+
+
+def test_dictionary_words_are_cheap():
+    words = secrets.ranked_words(secrets.DEFAULT_DICTIONARY)
+    assert len(words) > 10_000 and words["password"] == 1 and "giraffe" not in secrets.RANK
+    assert secrets.guess_cost("elephanthouse", words) < 9 < secrets.guess_cost("elephanthouse")
+    assert secrets.guess_cost("x9Kq7Zp3Lw", words) > 12 and secrets.ranked_words(None) == secrets.RANK
+
+
+def test_long_texts(spark):
+    text = "f" * 24 + " " + "word " * 600_000 + "token=x9Kq7Zp3Lw"
+    rows = spark.createDataFrame([(1, text, "s", 3), (1, text, "s", 3), (None, None, None, None)], "doc_id long, text string, spans string, __text int")
+    got = secrets.secret_spans(rows).collect()
+    assert len(got) == 3 and sorted(len(r["spans"]) for r in got) == [0, 3, 3]

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import random
+
+import brute
 import pytest
 
 from velario.llm import pii
@@ -23,3 +26,18 @@ ES, BE, PL, NO = "ES91 2100 0418 4502 0005 1332", "BE68 5390 0754 7034", "PL61 1
 )
 def test_iban_ends_where_its_country_says(text, want):
     assert [text[a:b] for kind, a, b, _ in pii.find_spans(text) if kind == "iban"] == want
+
+
+def test_long_texts_and_runs(spark):
+    text = "a" * 1_500_000 + "@ " + "word " * 300_000 + "x.y@z.co"
+    rows = spark.createDataFrame([(1, text, "s"), (1, text, "s"), (None, None, None)], "doc_id long, text string, spans string")
+    got = pii.pii_spans(rows).collect()
+    at = len(text)
+    assert sorted(str([(s["kind"], s["start"], s["end"]) for s in r["spans"]]) for r in got) == sorted(["[]"] + [str([("email", at - 8, at)])] * 2)
+
+
+def test_emails_as_the_whole_text_search_finds_them():
+    rng = random.Random(2)
+    for _ in range(3000):
+        text = "".join(rng.choices("ab1.@%+- é", k=rng.randint(1, 25)))
+        assert [s[:3] for s in pii.find_spans(text) if s[0] in pii.BASE_KINDS] == brute.pii(text), text

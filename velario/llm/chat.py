@@ -11,18 +11,21 @@ of the bodies of assistant turns.
 
 Edge cases: null text is empty; null role is the empty role; null turns sort first, ties of turn
 by role, then text; repeated rows are repeated turns; an empty table gives an empty result; a null
-conversation id is a conversation of its own. One conversation is one output string, so its
-rows meet in one task: that is the size of the output row itself.
+conversation id is a conversation of its own. A null part is nothing; a part of unknown or null
+kind becomes ``<|part:index|>`` of 0 tokens; sizes and pages that are null or under 1 count as 1,
+seconds that are null, negative or not finite as 0. Other columns are ignored. One conversation is
+one output string, so its rows meet in one task: that is the size of the output row itself.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -61,34 +64,41 @@ def unescape(text: str) -> str:
     return re.sub(r"<\\(\\*)\|", r"<\1|", text)
 
 
+def _at_least_one(value) -> int:
+    return value if value is not None and value > 0 else 1
+
+
 class PartVisitor:
     """Flattens content parts into text with ordered placeholders."""
 
     def __init__(self) -> None:
         self.attachments: list[tuple[str, str | None, int]] = []
+        self.handlers: dict[str, Callable] = {"text": self.visit_text, "image": self.visit_image, "audio": self.visit_audio, "document": self.visit_document}
 
     def visit(self, part) -> str:
-        handler: Callable | None = getattr(self, f"visit_{part['kind']}", None)
-        if handler is None:
-            raise ValueError(f"unknown content part: {part['kind']!r}")
-        return handler(part)
+        return "" if part is None else self.handlers.get(part["kind"], self.visit_other)(part)
 
     def visit_text(self, part) -> str:
         return escape(part["text"] or "")
 
     def visit_image(self, part) -> str:
-        tiles = -(-(part["width"] or 1) // IMAGE_TILE) * -(-(part["height"] or 1) // IMAGE_TILE)
-        return self._attach(part, tiles * TOKENS_PER_TILE)
+        tiles = -(-_at_least_one(part["width"]) // IMAGE_TILE) * -(-_at_least_one(part["height"]) // IMAGE_TILE)
+        return self._attach("image", part, tiles * TOKENS_PER_TILE)
 
     def visit_audio(self, part) -> str:
-        return self._attach(part, int(-(-(part["seconds"] or 0) * AUDIO_TOKENS_PER_SECOND // 1)))
+        seconds = part["seconds"]
+        heard = seconds if seconds is not None and math.isfinite(seconds) and seconds > 0 else 0
+        return self._attach("audio", part, math.ceil(heard * AUDIO_TOKENS_PER_SECOND))
 
     def visit_document(self, part) -> str:
-        return self._attach(part, (part["pages"] or 1) * TOKENS_PER_PAGE)
+        return self._attach("document", part, _at_least_one(part["pages"]) * TOKENS_PER_PAGE)
 
-    def _attach(self, part, tokens: int) -> str:
-        self.attachments.append((part["kind"], part["ref"], tokens))
-        return f"<|{part['kind']}:{len(self.attachments) - 1}|>"
+    def visit_other(self, part) -> str:
+        return self._attach("part", part, 0)
+
+    def _attach(self, kind: str, part, tokens: int) -> str:
+        self.attachments.append((kind, part["ref"], tokens))
+        return f"<|{kind}:{len(self.attachments) - 1}|>"
 
 
 def format_turns(turns: list[tuple[str | None, list]]) -> tuple[str, list[list[int]], list[tuple]]:
@@ -141,10 +151,19 @@ def format_conversations(rows: DataFrame, conv_col: str = "conv_id", turn_col: s
     return grouped.mapInPandas(run, as_text).withColumn("conv_id", F.col("conv_id").cast("long"))
 
 
-def with_text_parts(rows: DataFrame, text_col: str = "text") -> DataFrame:
-    """A plain text column as an array of one text part, in column ``parts``."""
-    part = F.struct(F.lit("text").alias("kind"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *[F.lit(None).cast(f.dataType).alias(f.name) for f in PART.fields[2:]])
-    return rows.withColumn("parts", F.array(part))
+def text_part(text: Column) -> Column:
+    return F.struct(F.lit("text").alias("kind"), F.coalesce(text, F.lit("")).alias("text"), *[F.lit(None).cast(f.dataType).alias(f.name) for f in PART.fields[2:]])
+
+
+def reference_part(kind: str, ref: Column, **sizes: Column) -> Column:
+    """An image, audio or document part; ``sizes``: width, height, seconds or pages."""
+    given = {"kind": F.lit(kind), "ref": ref, **sizes}
+    return F.struct(*[given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in PART.fields])
+
+
+def with_text_parts(rows: DataFrame, text_col: str = "text", parts_col: str = "parts") -> DataFrame:
+    """A plain text column as an array of one text part, in ``parts_col`` (which it replaces)."""
+    return rows.withColumn(parts_col, F.array(text_part(F.col(text_col))))
 
 
 def digest_formatted(conv_id, text: str, spans) -> tuple:

@@ -3,8 +3,8 @@
 Character 2- to 4-grams inside words (with a boundary mark) are hashed into ``BUCKETS`` rows of an
 embedding table; a text is the mean of its rows, and a linear softmax gives the language. The
 table and the softmax are trained by stochastic gradient descent in numpy on a sample of at most
-about ``MAX_TRAIN_ROWS`` labelled rows, spread evenly over the languages and picked by a hash of
-the id. Temperature and rejection threshold come from a calibration fifth of that sample.
+about ``MAX_TRAIN_ROWS`` labelled rows (one for each language where there are more languages),
+spread evenly over all languages and picked by a hash of the id. Temperature and rejection threshold come from a calibration fifth of that sample.
 Because the mean and the softmax are linear, prediction sums one row of ``embedding @ weights``
 for each n-gram of the whole text.
 
@@ -21,7 +21,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,11 +31,11 @@ BUCKETS = 8192
 DIMENSION = 16
 #: Bound of the training sample, in rows over all languages.
 MAX_TRAIN_ROWS = 4000
-#: The most frequent labels are learned, at most so many.
-MAX_LANGUAGES = 200
 EPOCHS = 30
 BATCH = 64
 SEED = 11
+#: Label counts with more rows are joined without a broadcast.
+BROADCAST_LABELS = 10_000
 #: Share of right calibration texts that the rejection threshold may cost, and its upper bound.
 REJECT_SHARE, REJECT_CEILING = 0.001, 0.5
 UNKNOWN = "und"
@@ -178,6 +178,12 @@ def calibrate(model: Model, rows, at: dict[str, int]) -> None:
     model.threshold = float(min(REJECT_CEILING, right[int(REJECT_SHARE * len(right))])) if len(right) else 0.0
 
 
+def picked(id_: Column, n: Column, quota: int) -> Column:
+    """About ``quota`` of n rows by a hash of the id, whose full 64 bits count: right for any n."""
+    place = (F.xxhash64(F.lit(SEED), id_).cast("double") / F.lit(2.0**64)) + 0.5
+    return place * n < quota
+
+
 def held_out(id_col: str):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
@@ -186,15 +192,13 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
     """Fit on labelled rows that are not held out; n-gram shares are made on the executors."""
     crc = F.crc32(F.col(id_col).cast("string").cast("binary"))
     usable = docs.where((crc % 5 != 0) & F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("string").alias("label"), F.col(text_col).alias("text"))
-    counts = usable.groupBy("label").count().orderBy(F.desc("count"), "label").limit(MAX_LANGUAGES).collect()
-    if not counts:
+    counts = usable.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    languages = counts.count()
+    if not languages:
         return Model()
-    quota = max(1, max_rows // len(counts))
-    pick = F.lit(False)
-    for r in counts:
-        share = int(min(1.0, quota / r["count"]) * 1_000_000)
-        pick = pick | ((F.col("label") == r["label"]) & (F.pmod(F.xxhash64(F.lit(SEED), "id"), F.lit(1_000_000)) < share))
-    sample = usable.where(pick).withColumn("order", F.xxhash64(F.lit(SEED + 1), "id"))
+    counts = counts.withColumnRenamed("label", "l")
+    rows = usable.join(F.broadcast(counts) if languages <= BROADCAST_LABELS else counts, F.col("label") == F.col("l"))
+    sample = rows.where(picked(F.col("id"), F.col("n"), max(1, max_rows // languages))).withColumn("order", F.xxhash64(F.lit(SEED + 1), "id"))
 
     def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

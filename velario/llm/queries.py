@@ -38,6 +38,23 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("conv_id", "formatted", "loss_spans").mapInArrow(digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
+def chat_typed_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed parts behind the texts: an image, a recording or a paper by turn; attachments are read back."""
+    told = spark.read.parquet(f"{sf_dir.rstrip('/')}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    name = F.concat_ws("-", "conv_id", "turn")
+    size = F.col("conv_id") % 2000
+    image = chat.reference_part("image", F.concat(F.lit("image-"), name), width=size, height=F.col("turn") * 300)
+    audio = chat.reference_part("audio", F.concat(F.lit("audio-"), name), seconds=size / 8)
+    paper = chat.reference_part("document", F.concat(F.lit("document-"), name), pages=size % 9)
+    text = chat.text_part(F.col("text"))
+    parts = F.when(F.col("turn") % 4 == 0, F.array(text, image)).when(F.col("turn") % 4 == 1, F.array(audio, text, paper)).otherwise(F.array(text))
+    made = chat.format_conversations(told.withColumn("parts", parts))
+    shown = F.regexp_extract_all("formatted", F.lit(r"<\|((?:image|audio|document):[0-9]+)\|>"), F.lit(1))
+    tokens = F.aggregate("attachments", F.lit(0).cast("long"), lambda n, a: n + a["tokens"])
+    refs = F.array_join(F.transform("attachments", lambda a: F.concat_ws("=", "conv_id", a["ref"], a["tokens"])), ",")
+    return made.select("conv_id", F.size("attachments").cast("long").alias("n_attachments"), tokens.alias("tokens"), refs.alias("refs"), F.array_join(shown, ",").alias("placeholders"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substring_dedup.substring_dedup(documents(spark, sf_dir))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -54,7 +71,8 @@ def _is(kind: str) -> Callable[[Column], Column]:
 def _reported(found: DataFrame, base: tuple[str, ...]) -> DataFrame:
     own = F.filter("spans", lambda s: s["kind"].isin(*base))
     counts = [F.size(F.filter(F.transform("spans", lambda s: s["kind"]), _is(k))).cast("long").alias(f"n_{k}") for k in base]
-    return found.select("doc_id", *counts, F.sha2(_joined(own), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
+    scores = F.array_join(F.transform("spans", lambda s: s["score"].cast("string")), ",")
+    return found.select("doc_id", *counts, F.sha2(_joined(own), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"), scores.alias("scores"))
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,10 +108,23 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_language_id, op2_chat_format, op3_substring_dedup, op4_pii, op5_near_dedup, op6_token_count, op7_mixing, op8_exact_dedup, op9_decontamination, op10_secrets)
+    for f in (op1_language_id, op2_chat_format, chat_typed_parts, op3_substring_dedup, op4_pii, op5_near_dedup, op6_token_count, op7_mixing, op8_exact_dedup, op9_decontamination, op10_secrets)
 }
 
+#: Attachments of chat_typed_parts in the order of their turns, from the tables alone.
+_ATTACHED = """
+  select conv_id, turn, 0 as k, 'image' as kind, (greatest(1, cast(ceil(greatest(conv_id % 2000, 1) / 512.0) as bigint)) * cast(ceil(greatest(turn * 300, 1) / 512.0) as bigint)) * 170 as n
+    from conversations where turn % 4 = 0
+  union all select conv_id, turn, 0, 'audio', cast(ceil(greatest(conv_id % 2000, 0) / 8.0 * 25) as bigint) from conversations where turn % 4 = 1
+  union all select conv_id, turn, 1, 'document', greatest(conv_id % 2000 % 9, 1) * 600 from conversations where turn % 4 = 1"""
+
 ORACLES: dict[str, str] = {
+    "chat_typed_parts": f"""
+        with a as (select *, row_number() over (partition by conv_id order by turn, k) - 1 as i from ({_ATTACHED}) x),
+        g as (select conv_id, count(*) as n_attachments, cast(sum(n) as bigint) as tokens,
+              string_agg(concat(conv_id, '=', kind, '-', conv_id, '-', turn, '=', n), ',' order by i) as refs, string_agg(concat(kind, ':', i), ',' order by i) as placeholders from a group by conv_id)
+        select c.conv_id, coalesce(n_attachments, 0) as n_attachments, coalesce(tokens, 0) as tokens, coalesce(refs, '') as refs, coalesce(placeholders, '') as placeholders
+        from (select distinct conv_id from conversations) c left join g using (conv_id)""",
     "op8_exact_dedup": r"""
         with t as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as norm from documents)
         select doc_id, min(doc_id) over (partition by norm) as keep_id, count(*) over (partition by norm) as group_size,
