@@ -7,7 +7,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from velario.operators import cluster, codenames, detect, doctype, replace, store
+from velario.operators import cluster, codenames, detect, doctype, occurrence, replace, store
 
 
 def candidates(spark, rows):
@@ -141,3 +141,46 @@ def test_doctype(spark):
     docs = spark.createDataFrame(rows, "doc_id long, suffix string, n_entities int, n_sheets int, legal array<string>, teaser array<string>, readable boolean")
     got = {r["doc_id"]: (r["doctype"], round(r["confidence"], 3)) for r in doctype.guess_doctype(docs).collect()}
     assert got == {1: ("accounting", 1.0), 2: ("legal", 0.7), 3: ("teaser_im", 0.4), 4: ("generic", 0.3), 5: ("teaser_im", 0.6)}
+
+
+def name_rows(spark, texts):
+    return spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+
+
+def test_name_hits_forms_agree(spark):
+    rng = random.Random(3)
+    names = ["a", "ab", "aba", "abab", "_x_", "Ñandú", "gru", "grupo", "grupo sur", "\U0001f600b", "ababab"] + [f"grupo {k}" for k in range(40)]
+    texts = ["".join(rng.choices(["a", "b", "_x_", " ", "grupo ", "sur", "Ñandú", "\U0001f600", "7", "12"], k=14)) for _ in range(80)] + ["", None, "a", "ab", "ab"]
+    want = sorted((i, n, t.count(n)) for i, t in enumerate(texts) if t for n in names if n in t)
+    listed = spark.createDataFrame([(n,) for n in names + names[:3] + ["", None]], "name string")
+    for form in ("scan", "join"):
+        got = occurrence.name_hits(name_rows(spark, texts), listed, "text", "name", ["i"], form)
+        assert sorted(map(tuple, got.collect())) == want, form
+        assert occurrence.name_hits(name_rows(spark, texts), listed.where("false"), "text", "name", ["i"], form).collect() == []
+
+
+def test_replace_forms_agree_on_odd_names(spark):
+    pairs = [("_abc", "[X]"), ("abc_", "[Y]"), ("-q-", "[Q]"), ("x" * 3000, "[L]"), ("b_c", "[B]")]
+    texts = ["x_abc y", "abc_ abc_d _abc", "a-q-b", "x" * 3000 + " " + "x" * 2999, "b_c b_cd ab_c"]
+    want = {i: plain_replace(t, pairs) for i, t in enumerate(texts)}
+    for form in ("native", "trie", "join"):
+        got = {r["i"]: r["replaced"] for r in replace.replace_names(name_rows(spark, texts), mapping(spark, pairs), form=form).collect()}
+        assert got == want, form
+
+
+def test_previous_text_follows_the_files(spark):
+    rng = random.Random(5)
+    rows, text = [], ""
+    want = {}
+    for file in range(6):
+        for seq in range(rng.choice([1, 3, 40])):
+            t = rng.choice([None, "", "CIF:", "x" * rng.randint(1, 20), "ab"])
+            want[file, seq] = text[-14:]
+            text += (t or "") + "\n"
+            rows.append(("b", 100 - file, file, seq, "cell", t))
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "batch_id string, doc_id long, file_ord int, seq long, channel string, text string")
+    for block in (10_000, 16):
+        got = detect.with_previous_text(df, block=block).collect()
+        assert len(got) == len(rows)
+        assert {(r["file_ord"], r["seq"]): r["before"].lstrip("\n") for r in got} == {k: v.lstrip("\n") for k, v in want.items()}

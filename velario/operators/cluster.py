@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from velario.functions import lexicon as lex
 from velario.functions import names
 from velario.functions.similarity import indel_ratio_py, token_sort_ratio_py
+from velario.operators.lineage import cut
 
 THRESHOLD = 90
 MAX_LENGTH_GAP = 6
@@ -24,7 +25,7 @@ CLUSTER_SCHEMA = "kind string, canonical string, variants array<string>, total_c
 
 
 def merged_candidates(candidates: DataFrame) -> DataFrame:
-    """One row for each (kind, text): counts add up, account codes keep their order."""
+    """One row for each (kind, text): counts add up; a text's account codes, one of each source, are sorted."""
     codes = F.array_sort(F.collect_set("account_code"))
     return candidates.groupBy("kind", "text").agg(F.sum("count").cast("long").alias("count"), codes.alias("codes"))
 
@@ -113,8 +114,8 @@ def merge_persons(clusters: DataFrame, threshold: float = THRESHOLD) -> DataFram
 
 def cluster_variants(candidates: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Clusters of all kinds; order them by (-total_count, canonical) for display."""
-    led = leader_clusters(candidates, threshold).persist()  # read by each clean-up; names, not rows
-    return merge_persons(drop_covered(led).persist(), threshold)
+    led = cut(leader_clusters(candidates, threshold))  # read by each clean-up; names, not rows
+    return merge_persons(cut(drop_covered(led)), threshold)
 
 
 def similar_pairs(entries: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Detection over fragments(batch_id, doc_id, file_ord, seq, channel, sheet, row, col, text).
 
 Detection runs once for each distinct text; counts are non-overlapping substring counts over the
-batch. The window before an identifier crosses fragment borders through a bounded frame.
+batch. The window before an identifier crosses fragment and file borders through a bounded frame.
 """
 
 from __future__ import annotations
@@ -14,7 +14,10 @@ from pyspark.sql import functions as F
 from velario.functions import lexicon as lex
 from velario.functions import names
 from velario.functions.identifiers import LABEL_WINDOW, PATTERNS, find_all, keep_id, matches_with_context
+from velario.operators.occurrence import name_hits
 
+#: Fragments of a file that one task orders.
+BLOCK = 10_000
 CANDIDATE = ("text", "kind", "count", "source", "account_code")
 
 #: Shapes of company names; fixed values.
@@ -30,14 +33,29 @@ SUFFIX_SHAPE = (
 )
 
 
-def with_previous_text(fragments: DataFrame, width: int = LABEL_WINDOW) -> DataFrame:
-    """Column ``before``: the last characters ahead of each fragment in its batch.
+def with_previous_text(fragments: DataFrame, width: int = LABEL_WINDOW, block: int = BLOCK) -> DataFrame:
+    """Column ``before``: the last characters ahead of each fragment, in its file or the files before.
 
-    ``width`` fragments always suffice, since each adds a line feed; the window is bounded.
+    fragments: batch_id, file_ord, doc_id and seq, which counts a file's fragments from 0. ``width``
+    fragments always suffice, since each adds a line feed. A file is cut into blocks of ``block``
+    fragments, each led by the last ``width`` of the block before, so no task holds a whole file.
+    Only the end of each file, one row, goes on to the files after it.
     """
-    order = Window.partitionBy("batch_id").orderBy("file_ord", "seq").rowsBetween(-width, -1)
-    tail = F.array_join(F.collect_list(F.coalesce(F.right("text", F.lit(width)), F.lit(""))).over(order), "\n")
-    return fragments.withColumn("before", F.right(F.concat(tail, F.lit("\n")), F.lit(width)))
+    file = ["batch_id", "file_ord", "doc_id"]
+    tail = F.coalesce(F.right("text", F.lit(width)), F.lit(""))
+    ends = fragments.select(*file, "seq", tail.alias("tail"), F.floor(F.col("seq") / block).alias("block"))
+    lead = ends.where(F.col("seq") % block >= block - width).withColumn("block", F.col("block") + 1)
+    within = Window.partitionBy(*file, "block").orderBy("seq").rowsBetween(-width, -1)
+    marked = ends.withColumn("own", F.lit(True)).unionByName(lead.withColumn("own", F.lit(False)))
+    inside = marked.withColumn("inside", F.array_join(F.collect_list("tail").over(within), "\n")).where("own").select(*file, "seq", "inside")
+    last = ends.groupBy(*file).agg(F.max("seq").alias("last"))
+    closing = ends.join(last, file).where(F.col("seq") > F.col("last") - width).groupBy(*file).agg(F.array_sort(F.collect_list(F.struct("seq", "tail"))).alias("ends"))
+    closing = closing.select(*file, F.right(F.array_join(F.transform("ends", lambda e: e["tail"]), "\n"), F.lit(width)).alias("end"))
+    earlier = Window.partitionBy("batch_id").orderBy("file_ord", "doc_id").rowsBetween(-width, -1)
+    ahead = closing.select(*file, F.array_join(F.collect_list("end").over(earlier), "\n").alias("ahead"))
+    joined = fragments.join(inside, [*file, "seq"]).join(ahead, file)
+    whole = F.concat("ahead", F.when(F.col("seq") == 0, F.lit("")).otherwise(F.lit("\n")), "inside", F.lit("\n"))
+    return joined.withColumn("before", F.right(whole, F.lit(width))).select(*fragments.columns, "before")
 
 
 def structured_matches(fragments: DataFrame) -> DataFrame:
@@ -70,18 +88,10 @@ def _tag(kind: str) -> Callable[[Column], Column]:
 
 
 def substring_counts(values: DataFrame, fragments: DataFrame, column: str = "value") -> DataFrame:
-    """Distinct values with their non-overlapping substring count over the fragments.
-
-    A value and a fragment meet on the value's first three characters, a trigram of the fragment,
-    so no fragment is compared with every value.
-    """
-    wanted = values.where(F.length(column) > 0).select(column).distinct().withColumn("gram", F.substring(column, 1, 3))
+    """Distinct values with their non-overlapping substring count over the fragments."""
     text = fragments.where("text is not null and text <> ''").groupBy("text").agg(F.count(F.lit(1)).alias("copies"))
-    grams = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length("text")), lambda i: F.array(F.substring("text", i, F.lit(3)), F.substring("text", i, F.lit(2)), F.substring("text", i, F.lit(1))))))
-    # Only trigrams that some value starts with leave the map side when the value list is small.
-    met = text.select("text", "copies", F.explode(grams).alias("gram")).join(wanted, "gram").where(F.contains("text", column))
-    hits = (F.length("text") - F.length(F.replace("text", F.col(column), F.lit("")))) / F.length(column)
-    return met.groupBy(column).agg(F.sum(hits * F.col("copies")).cast("long").alias("count"))
+    hits = name_hits(text, values, "text", column, ["copies"])
+    return hits.groupBy(column).agg(F.sum(F.col("hits") * F.col("copies")).cast("long").alias("count"))
 
 
 def structured_candidates(fragments: DataFrame) -> DataFrame:
@@ -128,14 +138,10 @@ def heuristic_persons(fragments: DataFrame) -> DataFrame:
 
 
 def suffix_variants(orgs: DataFrame, fragments: DataFrame) -> DataFrame:
-    """(text, count): each company name as it stands with a suffix somewhere, not yet listed.
-
-    A name and a fragment meet on the name's first three characters in lower case.
-    """
-    keyed = orgs.select(F.col("text").alias("org")).distinct().withColumn("gram", F.lower(F.substring("org", 1, 3)))
+    """(text, count): each company name as it stands with a suffix somewhere, not yet listed."""
+    named = orgs.select(F.col("text").alias("org"), F.lower("text").alias("name")).distinct()
     texts = distinct_texts(fragments).withColumn("low", F.lower("text"))
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("low")), lambda i: F.substring("low", i, F.lit(3))))
-    met = texts.select("text", "low", F.explode(grams).alias("gram")).join(keyed, "gram").where(F.contains("low", F.lower("org")))
+    met = name_hits(texts, named, "low", "name", ["text"]).join(named, "name")
     pattern = F.concat(F.lit("(?iU)\\Q"), F.replace("org", F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"), F.lit(SUFFIX_SHAPE))
     found = met.select("org", F.explode(F.regexp_extract_all("text", pattern, F.lit(0))).alias("v")).select("org", F.rtrim(F.regexp_replace(F.trim("v"), ",+$", "")).alias("text"))
     new = found.where("text <> org").select("text").distinct().join(orgs.select("text"), "text", "left_anti")
@@ -150,18 +156,22 @@ def detect_candidates(fragments: DataFrame, skip_ner: bool = False, layers: tupl
     """All candidates (text, kind, count, source, account_code) of the fragments.
 
     ``layers`` are optional model layers: each takes (fragments, candidates so far) and returns
-    further candidates (see model_layer).
+    further candidates (see model_layer). The fragments are read several times: pass a written
+    table or a checkpoint.
     """
     if "before" not in fragments.columns:
         fragments = with_previous_text(fragments)
     found = structured_candidates(fragments)
-    if skip_ner:
-        return found
+    return found if skip_ner else found.unionByName(name_candidates(fragments, layers, found))
+
+
+def name_candidates(fragments: DataFrame, layers: tuple[Callable[[DataFrame, DataFrame], DataFrame], ...] = (), known: DataFrame | None = None) -> DataFrame:
+    """The candidates of the fragments beside identifiers; layers see ``known`` and what is found before them."""
     orgs = heuristic_orgs(fragments)
     orgs = orgs.unionByName(suffix_variants(orgs, fragments))
-    found = _candidates(orgs, "ORG", "ner").unionByName(_candidates(heuristic_persons(fragments), "PER", "ner")).unionByName(found)
+    found = _candidates(orgs, "ORG", "ner").unionByName(_candidates(heuristic_persons(fragments), "PER", "ner"))
     for layer in layers:
-        found = found.unionByName(layer(fragments, found))
+        found = found.unionByName(layer(fragments, found if known is None else known.unionByName(found)))
     return found
 
 

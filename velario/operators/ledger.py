@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from velario.functions import names
+from velario.operators.occurrence import name_hits
 
 SHEET = ("doc_id", "sheet_ord", "sheet")
 HEADER_ROWS, CONTENT_ROWS = 40, 100
@@ -105,29 +106,20 @@ def named_column_candidates(cells: DataFrame) -> DataFrame:
 def row_contexts(cells: DataFrame, wanted: DataFrame, max_len: int = 120) -> DataFrame:
     """wanted(name_lower) -> (name_lower, snippet): the first row that holds the name.
 
-    Names and rows meet on the name's first three characters, a trigram of the row; only then is
-    the whole name looked for, so no row is compared with every name.
+    Rows come in order of ``file_ord`` where the cells have it, then document, sheet and row. Only
+    the keys of rows go through the join and the grouping; the line is fetched for the first one.
     """
     from velario.functions.identifiers import redact_id
 
     value = F.trim("value")
-    lined = cells.where(value.isNotNull() & (value != "")).groupBy(*SHEET, "row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col", redact_id(value).alias("v")))), lambda s: s["v"]), " · ").alias("line"))
+    order = [c for c in ("file_ord", "doc_id", "sheet_ord", "row") if c in cells.columns]
+    own = list(dict.fromkeys([*order, *SHEET]))
+    lined = cells.where(value.isNotNull() & (value != "")).groupBy(*own).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col", redact_id(value).alias("v")))), lambda s: s["v"]), " · ").alias("line"))
     rows = lined.withColumn("low", F.lower(F.regexp_replace("line", r"(?U)\s+", " ")))
-    # Trigrams instead of words: a name may begin or end inside a longer word of the row.
-    names_keyed = wanted.where("name_lower <> ''").select("name_lower").distinct().withColumn("key", F.substring(F.col("name_lower"), 1, 3))
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("low")), lambda i: F.substring("low", i, F.lit(3))))
-    short = F.array_distinct(F.concat(grams, F.transform(grams, lambda g: F.substring(g, 1, 2)), F.transform(grams, lambda g: F.substring(g, 1, 1))))
-    keyed = rows.select("doc_id", "sheet_ord", "row", "line", "low", F.explode(short).alias("key"))
-    hits = keyed.join(names_keyed, "key").where(F.contains("low", "name_lower"))
+    hits = name_hits(rows, wanted, "low", "name_lower", order)
+    first = hits.groupBy("name_lower").agg(F.min(F.struct(*order)).alias("at")).select("name_lower", "at.*")
     snippet = F.when(F.length("line") <= max_len, F.col("line")).otherwise(F.concat(F.rtrim(F.substring("line", 1, max_len - 1)), F.lit("…")))
-    return hits.groupBy("name_lower").agg(F.min_by(snippet, F.struct("doc_id", "sheet_ord", "row")).alias("snippet"))
-
-
-def longest_word(text):
-    """The longest run of word characters, the first of equals; null without one."""
-    words = F.regexp_extract_all(text, F.lit(r"(?U)\w+"), F.lit(0))
-    ranked = F.array_sort(F.transform(words, lambda w, i: F.struct((-F.length(w)).alias("n"), i.alias("i"), w.alias("w"))))
-    return F.try_element_at(ranked, F.lit(1))["w"]
+    return first.join(lined, order).select("name_lower", snippet.alias("snippet"))
 
 
 def attach_contexts(clusters: DataFrame, contexts: DataFrame) -> DataFrame:

@@ -4,14 +4,15 @@ mapping(original, codename, ...). A text is scanned once, left to right, longest
 case; inserted codenames are never scanned again. Three forms give the same result:
 
 - native: one alternation inside whole-stage code, for up to ``NATIVE_NAMES`` names;
-- trie: one regular expression shared with Python tasks, up to ``SHARED_CHARS`` characters of names;
-- join: beyond that size. Names and texts meet on the name's longest word, and each text is scanned
-  for the names that met it. Nothing that grows with the mapping is held by the driver or a task.
+- trie: one regular expression shared with Python workers, up to ``SHARED_CHARS`` characters of names;
+- join: beyond that size. Names and texts meet as in ``occurrence``, and each text is scanned for the
+  names that it contains. Nothing that grows with the mapping is held by the driver or a task.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -20,8 +21,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from velario.operators.occurrence import name_hits, text_key
+
 NATIVE_NAMES = 300
-SHARED_CHARS = 8_000_000
+SHARED_CHARS = 2_000_000
 MIN_LEAK = 4
 #: What may not stand next to a leaked name; fixed value.
 _LETTER = "[0-9a-zñáéíóú]"
@@ -73,11 +76,16 @@ def trie_pattern(names: list[str]) -> str:
         node[""] = name[-1].isalnum()
 
     def write(node: dict) -> str:
+        # Runs without a branch are written in a loop: depth grows with branches, not with length.
+        run = []
+        while len(node) == 1 and "" not in node:
+            ((c, node),) = node.items()
+            run.append(re.escape(c))
         branches = [re.escape(c) + write(child) for c, child in sorted(node.items()) if c != ""]
         end = None if "" not in node else (r"\b" if node[""] else "")
         if end is not None:
             branches.append(end)
-        return branches[0] if len(branches) == 1 else f"(?:{'|'.join(branches)})"
+        return "".join(run) + (branches[0] if len(branches) == 1 else f"(?:{'|'.join(branches)})")
 
     parts = [(r"\b" if bounded else "") + write(node) for bounded, node in root.items()]
     return f"(?:{'|'.join(parts)})" if parts else r"(?!)"
@@ -97,31 +105,35 @@ def substitute(text: str | None, pattern: re.Pattern, table: dict[str, str]) ->
     return pattern.sub(one, text), n
 
 
+_patterns: dict[str, tuple[dict[str, str], re.Pattern]] = {}
+
+
+def _compiled(key: str, pairs: list[tuple[str, str]]) -> tuple[dict[str, str], re.Pattern]:
+    """The pattern of one mapping, compiled once for each Python worker, which keeps the last one only."""
+    if key not in _patterns:
+        _patterns.clear()
+        table = dict(pairs)
+        _patterns[key] = table, re.compile(trie_pattern(list(table)), re.IGNORECASE)
+    return _patterns[key]
+
+
 def _trie_columns(rows: DataFrame, text_col: str, pairs: list[tuple[str, str]]) -> DataFrame:
-    shared = rows.sparkSession.sparkContext.broadcast(pairs)  # SHARED_CHARS at most
+    shared, key = rows.sparkSession.sparkContext.broadcast(pairs), uuid.uuid4().hex  # SHARED_CHARS at most
 
     @F.pandas_udf("text string, n int")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        table = dict(shared.value)
-        pattern = re.compile(trie_pattern(list(table)), re.IGNORECASE)
+        table, pattern = _compiled(key, shared.value)
         for s in parts:
             yield pd.DataFrame([substitute(t, pattern, table) for t in s], columns=["text", "n"])
 
     return rows.withColumn("__r", run(text_col))
 
 
-def longest_word(text: Column) -> Column:
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\w+"), F.lit(0))
-    ranked = F.array_sort(F.transform(words, lambda w, i: F.struct((-F.length(w)).alias("n"), i.alias("i"), w.alias("w"))))
-    return F.coalesce(F.try_element_at(ranked, F.lit(1))["w"], F.lit(""))
-
-
 def _join_columns(rows: DataFrame, text_col: str, names: DataFrame) -> DataFrame:
-    keyed = names.select("low", "codename", longest_word(F.col("low")).alias("word"))
-    words = F.array_distinct(F.concat(F.regexp_extract_all(F.lower("t"), F.lit(r"(?U)\w+"), F.lit(0)), F.array(F.lit(""))))
-    texts = rows.select(F.xxhash64(text_col).alias("h"), F.col(text_col).alias("t")).where("t is not null").distinct()
-    met = texts.select("h", "t", F.explode(words).alias("word")).join(keyed, "word").where(F.contains(F.lower("t"), F.col("low")))
-    lists = met.groupBy("t").agg(F.collect_set(F.struct("low", "codename")).alias("names"))
+    texts = rows.where(F.length(text_col) > 0).select(F.col(text_col).alias("t")).distinct().select("t", F.lower("t").alias("low_t"), *text_key("t"))
+    met = name_hits(texts, names, "low_t", "low", ["k1", "k2"], form="join")
+    # A text's names are at most as many as its characters times the lengths of names.
+    lists = met.join(names.select("low", "codename"), "low").groupBy("k1", "k2").agg(F.collect_set(F.struct("low", "codename")).alias("names"))
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in frames:
@@ -132,8 +144,11 @@ def _join_columns(rows: DataFrame, text_col: str, names: DataFrame) -> DataFrame
                 out.append(dict(zip(("text", "n"), substitute(t, pattern, table), strict=True)))
             yield pa.RecordBatch.from_arrays([batch.column("t"), pa.array(out, pa.struct([("text", pa.string()), ("n", pa.int32())]))], names=["t", "__r"])
 
-    done = lists.mapInArrow(run, T.StructType([T.StructField("t", T.StringType()), T.StructField("__r", T.StructType([T.StructField("text", T.StringType()), T.StructField("n", T.IntegerType())]))]))
-    joined = rows.join(done, rows[text_col] == done["t"], "left").drop("t")
+    result = T.StructType([T.StructField("text", T.StringType()), T.StructField("n", T.IntegerType())])
+    done = texts.join(lists, ["k1", "k2"]).select("t", "names").mapInArrow(run, T.StructType([T.StructField("t", T.StringType()), T.StructField("__r", result)])).select("t", "__r", *text_key("t"))
+    own = rows.select("*", *[c.alias(f"__{n}") for n, c in zip(("k1", "k2"), text_key(text_col), strict=True)])
+    same = (own["__k1"] == done["k1"]) & (own["__k2"] == done["k2"]) & (own[text_col] == done["t"])
+    joined = own.join(done, same, "left").drop("t", "k1", "k2", "__k1", "__k2")
     return joined.withColumn("__r", F.coalesce("__r", F.struct(F.col(text_col).alias("text"), F.lit(0).alias("n"))))
 
 
@@ -158,17 +173,12 @@ def replace_names(rows: DataFrame, mapping: DataFrame, text_col: str = "text", o
 
 
 def find_surviving(rows: DataFrame, mapping: DataFrame, id_cols: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
-    """(id columns, original): names of 4 or more characters that still stand in a text as a word.
-
-    Names and texts meet on the name's first four characters, a four-gram of the text.
-    """
-    names = mapping.select("original").where(F.length(F.trim("original")) >= MIN_LEAK).distinct().withColumn("name", F.lower(F.trim("original"))).withColumn("gram", F.substring("name", 1, 4))
-    low = F.lower(text_col)
-    texts = rows.select(*id_cols, low.alias("low")).where(F.length("low") >= MIN_LEAK)
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("low") - MIN_LEAK + 1), lambda i: F.substring("low", i, F.lit(4))))
-    met = texts.withColumn("gram", F.explode(grams)).join(names, "gram").where(F.contains("low", "name"))
+    """(id columns, original): names of 4 or more characters that still stand in a text as a word."""
+    names = mapping.select("original").where(F.length(F.trim("original")) >= MIN_LEAK).distinct().withColumn("name", F.lower(F.trim("original")))
+    texts = rows.select(*id_cols, F.lower(text_col).alias("low"))
+    met = name_hits(texts, names, "low", "name", [*id_cols, "low"])
     quoted = F.concat(F.lit(f"(?<!{_LETTER})\\Q"), F.replace("name", F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit(f"\\E(?!{_LETTER})"))
-    return met.where(F.regexp_like("low", quoted)).select(*id_cols, "original").distinct()
+    return met.where(F.regexp_like("low", quoted)).join(names, "name").select(*id_cols, "original").distinct()
 
 
 def verify_report(rows: DataFrame, outputs: DataFrame, mapping: DataFrame, min_chars: int = 20, big_bytes: int = 10_000) -> DataFrame:

@@ -12,6 +12,7 @@ from velario.functions import lexicon as lex
 from velario.functions import names
 from velario.functions.similarity import indel_ratio, may_be_same_names
 from velario.operators import cluster, codenames, detect, doctype, ledger, quality, replace, store
+from velario.operators.lineage import cut
 from velario.plans import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -451,7 +452,7 @@ def backup_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.keep_newest(table(spark, sf_dir, "events").select(F.col("event_type").alias("project"), F.col("event_id").alias("version"))).select("project", "version")
 
 
-@query(f"select id as doc_id, cast(1 as bigint) as truth, cast(case when id % 3 = 2 then 0 else 1 end as bigint) as hits, cast(case when id % 3 = 2 then 1 else 0 end as bigint) as missed, cast(case when id % 3 = 1 then 1 else 0 end as bigint) as false_positives, case when id % 3 = 2 then 0.0 else 100.0 end as coverage from ({fx.NOTES}) n")
+@query(f"select id as doc_id, cast(1 as bigint) as truth, cast(case when id % 3 = 2 then 0 else 1 end as bigint) as hits, cast(case when id % 3 = 2 then 1 else 0 end as bigint) as missed, cast(case when id % 3 = 1 then 1 else 0 end as bigint) as false_positives, cast(case when id % 3 = 2 then 0 else 100 end as double) as coverage from ({fx.NOTES}) n")
 def detector_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names of key 0 mod 3 are found, of 1 found beside a false one, of 2 missed."""
     rows = fx.frame(spark, sf_dir, fx.NOTES).select(F.col("id").alias("doc_id"), "name")
@@ -473,8 +474,7 @@ def heuristic_person(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def detect_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    notes = _notes(spark, sf_dir).withColumn("before", F.lit(""))
-    return detect.detect_candidates(notes)
+    return detect.detect_candidates(cut(_notes(spark, sf_dir).withColumn("before", F.lit(""))))
 
 
 @query()
@@ -492,7 +492,8 @@ def ledger_pseudonymise(spark: SparkSession, sf_dir: str) -> DataFrame:
     entities = _entities(spark, sf_dir).where("kind in ('CLIENTE', 'PROVEEDOR')")
     names_ = ledger.ledger_candidates(entities).withColumn("codename", names.account_codename(F.col("kind"), F.col("account_code"), "full"))
     mapping = names_.select(F.col("text").alias("original"), "codename")
-    done = replace.replace_names(entities.select("row", "kind", F.col("description").alias("text")), mapping)
+    mapping = cut(mapping)
+    done = cut(replace.replace_names(entities.select("row", "kind", F.col("description").alias("text")), mapping))
     left = replace.find_surviving(done.select("row", F.col("replaced").alias("text")), mapping, ("row",)).groupBy("row").agg(F.count(F.lit(1)).alias("left"))
     joined = done.join(left, "row", "left")
     return joined.groupBy("kind").agg(F.count(F.lit(1)).alias("n_entities"), F.sum("n_replaced").alias("n_replaced"), F.coalesce(F.sum("left"), F.lit(0)).alias("n_surviving"))

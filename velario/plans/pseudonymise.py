@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from velario.operators import cluster, codenames, detect, doctype, ledger
+from velario.operators.lineage import cut
 from velario.operators.store import MappingStore
 from velario.sources import ooxml
 
@@ -29,12 +29,9 @@ class Analysis:
     review: DataFrame
 
 
-def cut(rows: DataFrame) -> DataFrame:
-    """The rows from a checkpoint in the shared folder: what follows plans from there on."""
-    context = rows.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(rows.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="velario-"))
-    return rows.checkpoint()
+def in_order(files: DataFrame) -> DataFrame:
+    """(doc_id, file_ord): files in order of their paths; one row for each file."""
+    return files.select("doc_id", F.row_number().over(Window.orderBy("path", "doc_id")).alias("file_ord"))
 
 
 def document_types(files: DataFrame, fragments: DataFrame, entities: DataFrame) -> DataFrame:
@@ -52,19 +49,20 @@ def analyse(spark: SparkSession, path: str | list[str], store: MappingStore, pro
     if forced not in FORCED:
         raise ValueError(f"forced must be one of {FORCED}")
     files = ooxml.read_files(spark, path)
-    cells = cut(ooxml.extract_cells(files))
+    order = cut(in_order(files))
+    cells = cut(ooxml.extract_cells(files).join(order, "doc_id"))
     fragments = cut(ooxml.extract_fragments(files))
     layout = ledger.ledger_layout(cells)
     entities = cut(ledger.ledger_entities(ledger.ledger_rows(cells, layout)))
     if forced in ("teaser_im", "legal"):
         entities = entities.where(F.lit(False))
     types = cut(document_types(files, fragments, entities))
-    texts = fragments.where("text is not null").select(F.lit(project).alias("batch_id"), "doc_id", F.lit(0).alias("file_ord"), "seq", "channel", "text")
-    with_type = texts.join(types.select("doc_id", "doctype"), "doc_id")
-    free = with_type.where(doctype.uses_ner(F.col("doctype"), forced))
-    shown = detect.with_previous_text(texts)
+    texts = fragments.where("text is not null").select(F.lit(project).alias("batch_id"), "doc_id", "seq", "channel", "text").join(order, "doc_id")
+    shown = cut(detect.with_previous_text(texts))
+    with_type = shown.join(types.select("doc_id", "doctype"), "doc_id")
+    free = cut(with_type.where(doctype.uses_ner(F.col("doctype"), forced)).drop("doctype"))
     found = ledger.ledger_candidates(entities).unionByName(ledger.named_column_candidates(cells)).unionByName(detect.structured_candidates(shown))
-    found = found.unionByName(detect.detect_candidates(free.drop("doctype"), layers=layers).where(~F.col("source").eqNullSafe("regex")))
+    found = found.unionByName(detect.name_candidates(free, layers=layers))
     # Each step below is read several times.
     found = cut(found)
     clusters = cut(cluster.cluster_variants(found))
@@ -82,6 +80,6 @@ def apply_mapping(files: DataFrame, store: MappingStore, project: str, inverse:
     mapping = store.load(project)
     if inverse:
         return ooxml.rewrite_files(files, invert_mapping(mapping), "rehidratado"), None
-    done = ooxml.rewrite_files(files, mapping, project).persist()
+    done = cut(ooxml.rewrite_files(files, mapping, project))
     report = ooxml.verify_files(files, done, mapping)
     return done, report

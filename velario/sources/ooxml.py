@@ -211,7 +211,7 @@ def extract_cells(files: DataFrame, rows_per_frame: int = 20_000) -> DataFrame:
                         if len(out) >= rows_per_frame:
                             yield _frame(out, CELLS)
                             out = []
-                except (zipfile.BadZipFile, ET.ParseError, KeyError):
+                except Exception:  # extract_fragments reports the file
                     continue
             yield _frame(out, CELLS)
 

@@ -27,9 +27,12 @@ def process_wave(store: MappingStore, project: str, fragments: DataFrame, out_pa
     try:
         candidates = (detector or detect.detect_candidates)(fragments)
         known = store.load(project)
-        fresh = candidates.join(known.select(F.lower("original").alias("low")).distinct(), F.lower("text") == F.col("low"), "left_anti")
-        review = codenames.assign_codenames(cluster.cluster_variants(fresh), known, project, mode)
-        new = codenames.review_to_mapping(review, project)
+        old = known.select(F.lower("original").alias("low")).distinct()
+        fresh = candidates.join(old, F.lower("text") == F.col("low"), "left_anti")
+        # Known names take part in clustering, so a new spelling joins its name; their entries stay.
+        seen = known.select(F.col("original").alias("text"), "kind", F.lit(0).cast("long").alias("count"), F.lit("known").alias("source"), F.lit(None).cast("string").alias("account_code"))
+        review = codenames.assign_codenames(cluster.cluster_variants(fresh.unionByName(seen)), known, project, mode)
+        new = codenames.review_to_mapping(review, project).join(old, F.lower("original") == F.col("low"), "left_anti")
         merged = upsert(known.drop("updated_at"), new)
         store.save(project, merged)
         mapping = store.load(project)
