@@ -1,37 +1,27 @@
 """Similarity of names: the normalised indel ratio, 200 * LCS / (length a + length b).
 
-``indel_ratio`` is a Column expression for composing with joins and filters; ``indel_ratio_py`` is
-the same measure for Python code that holds a block of names, with a bit-parallel LCS.
+``indel_ratio`` is a Column for composing with joins and filters: pairs go to Python in Arrow
+batches. ``indel_ratio_py`` is the same measure for Python code that holds a block of names; both
+use one bit-parallel LCS, linear in the longer name for names of usual length.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from velario.functions.names import normalize_org
 
 
-def lcs_length(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence, row by row of the usual table."""
-    chars = F.split(a, "")
-    zeros = F.array_repeat(F.lit(0), F.length(b) + 1)
-
-    def next_row(row: Column, c: Column) -> Column:
-        def cell(done: Column, j: Column) -> Column:
-            left = F.element_at(done, -1)
-            best = F.when(F.substring(b, j, F.lit(1)) == c, F.get(row, j - 1) + 1).otherwise(F.greatest(F.get(row, j), left))
-            return F.concat(done, F.array(best))
-
-        return F.aggregate(F.sequence(F.lit(1), F.length(b)), F.array(F.lit(0)), cell)
-
-    full = F.aggregate(chars, zeros, next_row)
-    return F.when((a == "") | (b == ""), 0).otherwise(F.element_at(full, -1))
+def indel_ratio(a: Column, b: Column) -> Column:
+    """Null where one of the two is null."""
 
+    @F.pandas_udf("double")
+    def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([None if p is None or q is None else indel_ratio_py(p, q) for p, q in zip(x, y, strict=True)], dtype="float64")
 
-def indel_ratio(a: Column, b: Column) -> Column:
-    total = F.length(a) + F.length(b)
-    return F.when(a == b, 100.0).when(total == 0, 100.0).otherwise(lcs_length(a, b) * 200.0 / total)
+    return ratio(a, b)
 
 
 def sorted_tokens(a: Column) -> Column:
@@ -44,10 +34,18 @@ def token_sort_ratio(a: Column, b: Column) -> Column:
 
 def may_be_same(a: Column, b: Column) -> Column:
     """Names (normalised) worth a merge suggestion: a prefix of 4 or more, or a near spelling."""
-    short = F.least(F.length(a), F.length(b))
-    prefix = (short >= 4) & (a.startswith(b) | b.startswith(a))
     ratio = token_sort_ratio(a, b)
-    return F.when((a == "") | (b == "") | (a == b), False).when(prefix, True).when(short >= 6, (ratio >= 82) & (ratio < 95)).otherwise(False)
+    return F.when(is_prefix(a, b), True).when(may_be_near(a, b), (ratio >= 82) & (ratio < 95)).otherwise(False)
+
+
+def is_prefix(a: Column, b: Column) -> Column:
+    return (F.least(F.length(a), F.length(b)) >= 4) & (a != b) & (a.startswith(b) | b.startswith(a))
+
+
+def may_be_near(a: Column, b: Column) -> Column:
+    """What a ratio of 82 needs at least, by lengths alone: sorting tokens only takes blanks away."""
+    short = F.least(F.length(a), F.length(b))
+    return (a != b) & (short >= 6) & (short * 200 >= (F.length(a) + F.length(b)) * 82)
 
 
 def may_be_same_names(a: Column, b: Column) -> Column:

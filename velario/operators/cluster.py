@@ -120,14 +120,15 @@ def cluster_variants(candidates: DataFrame, threshold: float = THRESHOLD) -> Dat
 
 def similar_pairs(entries: DataFrame) -> DataFrame:
     """entries(id, kind, name) -> (kind, id_a, id_b) of one block worth a merge suggestion."""
-    from velario.functions.similarity import may_be_same
+    from velario.functions.similarity import is_prefix, may_be_near, may_be_same
 
     keyed = entries.where(F.col("kind").isin(*lex.UNIFIABLE_KINDS)).withColumn("norm", names.normalize_org(F.col("name"))).where("norm <> ''")
     keyed = keyed.withColumn("block", F.substring("norm", 1, 2))
     other = keyed.select("kind", "block", F.col("id").alias("id_b"), F.col("norm").alias("norm_b"))
     left = keyed.select("kind", "block", F.col("id").alias("id_a"), F.col("norm").alias("norm_a"))
     # A ratio of 82 or more needs lengths within 36 parts in 164; prefixes have any length.
-    pairs = left.join(other, ["kind", "block"]).where("id_a < id_b")
+    band = is_prefix(F.col("norm_a"), F.col("norm_b")) | may_be_near(F.col("norm_a"), F.col("norm_b"))
+    pairs = left.join(other, ["kind", "block"]).where((F.col("id_a") < F.col("id_b")) & band)
     return pairs.where(may_be_same(F.col("norm_a"), F.col("norm_b"))).select("kind", "id_a", "id_b")
 
 
@@ -162,7 +163,8 @@ def _same(a: str, b: str) -> bool:
     short, long = sorted((a, b), key=len)
     if len(short) >= 4 and long.startswith(short):
         return True
-    return len(short) >= 6 and 82 <= token_sort_ratio_py(a, b) < 95
+    near = len(short) >= 6 and len(short) * 200 >= (len(a) + len(b)) * 82
+    return near and 82 <= token_sort_ratio_py(a, b) < 95
 
 
 def ranked(clusters: DataFrame) -> DataFrame:

@@ -160,14 +160,15 @@ def _plain_clusters(candidates: DataFrame) -> DataFrame:
 KNOWN = f"select 'demo' as project, kind, 0 as kind_ord, upper(text) as original, cast(row_number() over (partition by kind order by text) - 1 as int) as entry_ord, concat('[Antes-', account_code, ']') as codename from ({CANDIDATES}) k where cast(substr(account_code, 4) as int) % 7 = 0"
 
 
-def _known(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = ledger_candidates(spark, sf_dir).where("cast(substr(account_code, 4) as int) % 7 = 0")
+def _known(candidates: DataFrame) -> DataFrame:
+    rows = candidates.where("cast(substr(account_code, 4) as int) % 7 = 0")
     return rows.selectExpr("'demo' as project", "kind", "0 as kind_ord", "upper(text) as original", "cast(row_number() over (partition by kind order by text) - 1 as int) as entry_ord", "concat('[Antes-', account_code, ']') as codename")
 
 
 @query()
 def codename_sequential(spark: SparkSession, sf_dir: str) -> DataFrame:
-    review = codenames.assign_codenames(_plain_clusters(ledger_candidates(spark, sf_dir)), _known(spark, sf_dir), "demo", "sequential")
+    found = cut(ledger_candidates(spark, sf_dir))
+    review = codenames.assign_codenames(_plain_clusters(found), cut(_known(found)), "demo", "sequential")
     return review.select("kind", "canonical", "codename")
 
 
@@ -175,9 +176,10 @@ def codename_sequential(spark: SparkSession, sf_dir: str) -> DataFrame:
   with k as (select lower(original) as low, min(codename) as known, count(distinct codename) as d from ({KNOWN}) x group by 1)
   select c.kind, c.text as canonical, k.known from ({CANDIDATES}) c join k on lower(c.text) = k.low where d = 1""")
 def codename_existing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = _known(spark, sf_dir)
+    candidates = cut(ledger_candidates(spark, sf_dir))
+    known = cut(_known(candidates))
     once = known.groupBy(F.lower("original").alias("l")).agg(F.count_distinct("codename").alias("d")).where("d = 1")
-    found = codenames.existing_codenames(_plain_clusters(ledger_candidates(spark, sf_dir)), known)
+    found = codenames.existing_codenames(_plain_clusters(candidates), known)
     return found.join(once, F.lower("canonical") == F.col("l"), "left_semi")
 
 
@@ -479,7 +481,8 @@ def detect_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def assign_codenames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    review = codenames.assign_codenames(cluster.cluster_variants(_variant_candidates(spark, sf_dir)), _known(spark, sf_dir), "demo", "account_full", "Global Menta")
+    clusters = cut(cluster.cluster_variants(_variant_candidates(spark, sf_dir)))
+    review = codenames.assign_codenames(clusters, cut(_known(ledger_candidates(spark, sf_dir))), "demo", "account_full", "Global Menta")
     return review.select("row_id", "type", "kind", "canonical", "accounts", "total_count", "codename")
 
 
