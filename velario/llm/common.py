@@ -7,7 +7,6 @@ Texts are handled as whole Arrow buffers: every helper works on all texts of a s
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -17,8 +16,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from velario.operators.lineage import shared_folder
+
 #: Bytes of text handled at once inside a task; one text may exceed it and is then handled alone.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 512 << 10
 
 _BASE = 0x9E3779B97F4A7C15 | 5
 _SPACE = np.zeros(256, dtype=bool)
@@ -29,12 +30,25 @@ _LOWER[65:91] += 32
 _powers: dict[str, np.ndarray] = {}
 
 
+#: Bytes of one Arrow batch between the JVM and a Python worker.
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to ``BATCH_BYTES``, so that a task's memory doesn't follow its texts' length."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(spark.conf.get(name).rstrip("b"))
+    if now > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 class Scratch:
     """Intermediate tables in the shared folder that ``spark.checkpoint.dir`` names."""
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
-        self.root = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+        bounded_batches(spark)
+        self.root = f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
         self._n = 0
 
     def table(self, df: DataFrame) -> DataFrame:
@@ -42,31 +56,27 @@ class Scratch:
         self._n += 1
         path = f"{self.root}/{self._n}"
         df.write.parquet(path)
+        if self._n == 1:
+            root, files = self._file(self.root)
+            files.deleteOnExit(root)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
 
     def drop(self, *tables: DataFrame) -> None:
-        """Delete tables that no later step reads."""
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+        """Delete tables that no later step reads; what is left goes when the session ends."""
         for df in tables:
-            path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-            path.getFileSystem(conf).delete(path, True)
-
+            path, files = self._file(df._scratch_path)
+            files.delete(path, True)
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a folder of our own only where none is set (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="velario-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found
+    def _file(self, path: str):
+        context = self.spark.sparkContext
+        found = context._jvm.org.apache.hadoop.fs.Path(path)
+        return found, found.getFileSystem(context._jsc.hadoopConfiguration())
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
 
 
@@ -161,8 +171,36 @@ def range_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
+#: A Mersenne prime: sums of products below it stay inside 64 bits.
+_PRIME, _PRIME_BASE = (1 << 31) - 1, 1_103_515_245
+
+
+def _prime_power(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base, and of its inverse, modulo the prime."""
+    if len(_powers.get("prime_up", ())) < n:
+        size = max(n, SLICE_BYTES)
+        for name, base in (("prime_up", _PRIME_BASE), ("prime_down", pow(_PRIME_BASE, -1, _PRIME))):
+            out = np.ones(1, np.uint64)
+            while len(out) < size:
+                out = np.concatenate([out, out * np.uint64(pow(base, len(out), _PRIME)) % np.uint64(_PRIME)])
+            _powers[name] = out[:size]
+    return _powers["prime_up"][:n], _powers["prime_down"][:n]
+
+
+def range_check(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """31-bit hashes of ``values[start:end]`` modulo a prime, independent of ``range_hash``: what
+    makes sums modulo a power of two meet, such as long patterns of two values, does not here."""
+    n = len(values)
+    up, down = _prime_power(n + 1)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(values % np.uint64(_PRIME) * up[:n] % np.uint64(_PRIME), out=total[1:])
+    return (total[ends] - total[starts]) % np.uint64(_PRIME) * down[starts] % np.uint64(_PRIME)
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return range_hash(data.astype(np.uint64) + np.uint64(1), starts, ends)
+    """64-bit hashes of words, made of two independent ones."""
+    values = data.astype(np.uint64) + np.uint64(1)
+    return mix(range_hash(values, starts, ends) + mix(range_check(values, starts, ends)))
 
 
 def word_counts(texts: pa.Array) -> np.ndarray:

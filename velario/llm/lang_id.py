@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from velario.llm.common import slices
+from velario.llm.common import bounded_batches, slices
 
 BUCKETS = 8192
 DIMENSION = 16
@@ -190,6 +190,7 @@ def held_out(id_col: str):
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", max_rows: int = MAX_TRAIN_ROWS) -> Model:
     """Fit on labelled rows that are not held out; n-gram shares are made on the executors."""
+    bounded_batches(docs.sparkSession)
     crc = F.crc32(F.col(id_col).cast("string").cast("binary"))
     usable = docs.where((crc % 5 != 0) & F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("string").alias("label"), F.col(text_col).alias("text"))
     counts = usable.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
