@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import brute
+import duckdb
 import pytest
 
 from velario.llm import chat, lang_id, queries, token_count
@@ -89,7 +90,23 @@ def test_query_columns(spark, small, name):
     got = queries.QUERIES[name](spark, path)
     rows = got.collect()
     assert set(COLUMNS.get(name, "").split()) <= set(got.columns)
-    assert len(rows) == {"op2_chat_format": 2, "chat_typed_parts": 1}.get(name, len(docs))
+    assert len(rows) == {"op2_chat_format": 2, "chat_typed_parts": 1, "mixing_targets": 1}.get(name, len(docs))
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_query_against_sql(spark, small, name):
+    """Odd rows too: nulls, empty texts, copies and unknown columns."""
+    path, _ = small
+    duck = duckdb.connect()
+    for table in ("documents", "benchmark", "conversations"):
+        duck.execute(f"create view {table} as select * from read_parquet('{path}/{table}.parquet/*.parquet')")
+    found = duck.execute(queries.ORACLES[name])
+    heads = [d[0] for d in found.description]
+    want = [dict(zip(heads, r, strict=True)) for r in found.fetchall()]
+    got = queries.QUERIES[name](spark, path)
+    assert sorted(heads) == sorted(got.columns)
+    plain = lambda rows: sorted(str([r[c] for c in sorted(heads)]) for r in rows)
+    assert plain(got.collect()) == plain(want)
 
 
 def test_query_digests(spark, small):
