@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from velario.sources import pdf
+
 OFFICE = ("xlsx", "xlsm", "docx", "pptx")
 #: Properties that name a person, and properties that hold text; fixed values.
 IDENTITY_PROPS = ("creator", "lastModifiedBy")
@@ -159,8 +161,11 @@ def _slide_fragments(z: zipfile.ZipFile) -> Iterator[tuple]:
     yield from _links(z, r"ppt/slides/_rels/.*\.rels")
 
 
-def fragments_of(suffix: str, content: bytes) -> Iterator[tuple]:
-    """(channel, sheet, row, col, text) of one file."""
+def fragments_of(suffix: str, content: bytes, ocr: Callable[[list[bytes]], str] | None = None) -> Iterator[tuple]:
+    """(channel, sheet, row, col, text) of one file; ``ocr`` reads the images of PDF pages without text."""
+    if suffix == "pdf":
+        yield from pdf.fragments(content, ocr)
+        return
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         for channel, text in properties(z):
             yield channel, None, None, None, text
@@ -178,7 +183,7 @@ def _frame(rows: list[tuple], schema: str) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")], dtype=object)
 
 
-def extract_fragments(files: DataFrame, rows_per_frame: int = 20_000) -> DataFrame:
+def extract_fragments(files: DataFrame, rows_per_frame: int = 20_000, ocr: Callable[[list[bytes]], str] | None = None) -> DataFrame:
     """FRAGMENTS of office files; a file that can't be read gives one row with its error."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -186,7 +191,7 @@ def extract_fragments(files: DataFrame, rows_per_frame: int = 20_000) -> DataFra
             out: list[tuple] = []
             for doc_id, path, suffix, content in zip(frame["doc_id"], frame["path"], frame["suffix"], frame["content"], strict=True):
                 try:
-                    for seq, (channel, sheet, row, col, text) in enumerate(fragments_of(suffix, bytes(content))):
+                    for seq, (channel, sheet, row, col, text) in enumerate(fragments_of(suffix, bytes(content), ocr)):
                         out.append((doc_id, path, seq, channel, sheet, row, col, text, None))
                         if len(out) >= rows_per_frame:
                             yield _frame(out, FRAGMENTS)
@@ -219,6 +224,22 @@ def extract_cells(files: DataFrame, rows_per_frame: int = 20_000) -> DataFrame:
     return books.select("doc_id", "content").mapInPandas(run, CELLS)
 
 
+def page_counts(files: DataFrame) -> DataFrame:
+    """(doc_id, pages, images, error) of the PDF files: images may hold names that no rewriter reaches."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for doc_id, content in zip(frame["doc_id"], frame["content"], strict=True):
+                try:
+                    out.append((doc_id, *pdf.counts(bytes(content)), None))
+                except Exception as e:  # the file's row carries its error
+                    out.append((doc_id, None, None, f"{type(e).__name__}: {e}"))
+            yield _frame(out, "doc_id long, pages long, images long, error string")
+
+    return files.where("suffix = 'pdf'").select("doc_id", "content").mapInPandas(run, "doc_id long, pages long, images long, error string")
+
+
 #: Elements whose text a rewriter changes, by part; fixed values.
 _TEXT_PARTS = (
     (r"xl/sharedStrings\.xml|xl/worksheets/sheet\d+\.xml|xl/comments\d*\.xml|xl/charts/chart\d*\.xml", ("si", "is", "comment", "title", "oddHeader", "oddFooter", "evenHeader", "evenFooter", "formula1", "formula2")),
@@ -246,6 +267,8 @@ def _rewrite_block(block: ET.Element, change: Callable[[str], str]) -> None:
 
 def rewrite(suffix: str, content: bytes, change: Callable[[str], str]) -> bytes:
     """The file with ``change`` applied to every text channel and its authors cleared."""
+    if suffix == "pdf":
+        return pdf.rewrite(content, change)
     out = io.BytesIO()
     with zipfile.ZipFile(io.BytesIO(content)) as z, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as new:
         for name in z.namelist():
