@@ -1,4 +1,4 @@
-"""Command line: run, rehydrate, list, show, add-entry.
+"""Command line: run, rehydrate, list, show, edit, add-entry.
 
     python -m velario.cli run PROJECT FILES... --store DIR --out DIR
 """
@@ -6,13 +6,19 @@
 from __future__ import annotations
 
 import argparse
+import json
+import os
+import shlex
+import subprocess
+import tempfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from velario import interactive
 from velario.operators import codenames
-from velario.operators.store import MappingStore, upsert
+from velario.operators.store import MappingStore, mapping_json, upsert
 from velario.plans import pseudonymise
 from velario.sources import ooxml
 
@@ -28,7 +34,10 @@ def run(spark: SparkSession, args: argparse.Namespace) -> int:
     store = MappingStore(spark, args.store)
     found = pseudonymise.analyse(spark, args.files, store, args.project, args.type, args.mode, args.main_company)
     found.review.select("type", "canonical", "total_count", "codename", "context").orderBy("row_id").show(50, 60)
-    new = codenames.review_to_mapping(found.review, args.project)
+    review = found.review
+    if args.ask:
+        review = interactive.resolve(review, store.load(args.project), args.project, ask_all=args.ask_all)
+    new = codenames.review_to_mapping(review, args.project)
     if args.dry_run:
         return 0
     store.save(args.project, upsert(store.load(args.project).drop("updated_at"), new))
@@ -58,6 +67,26 @@ def show(spark: SparkSession, args: argparse.Namespace) -> int:
     return 0
 
 
+def edit(spark: SparkSession, args: argparse.Namespace) -> int:
+    """Open a project's mapping as JSON in an editor; what is saved there becomes its next version."""
+    store = MappingStore(spark, args.store)
+    rows = mapping_json(store.load(args.project)).collect()  # one project's JSON, as a person edits it
+    entries = json.loads(rows[0]["entries"]) if rows else {}
+    nested = {kind: json.loads(inner) if isinstance(inner, str) else inner for kind, inner in entries.items()}
+    with tempfile.TemporaryDirectory() as folder:
+        path = Path(folder, f"{args.project}.json")
+        path.write_text(json.dumps({"project": args.project, "entries": nested}, ensure_ascii=False, indent=2))
+        before = path.read_text()
+        subprocess.run([*shlex.split(args.editor or os.environ.get("EDITOR", "vi")), str(path)], check=True)
+        after = path.read_text()
+    if after == before:
+        return 0
+    given = json.loads(after)["entries"]
+    entries = [(args.project, kind, i, original, j, code) for i, (kind, own) in enumerate(given.items()) for j, (original, code) in enumerate(own.items())]
+    store.save(args.project, spark.createDataFrame(entries, codenames.MAPPING))
+    return 0
+
+
 def add_entry(spark: SparkSession, args: argparse.Namespace) -> int:
     store = MappingStore(spark, args.store)
     row = [(args.project, args.kind, 0, args.original, 0, args.codename)]
@@ -83,9 +112,12 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--mode", default="account_full", choices=codenames.MODES)
     p.add_argument("--main-company", default="")
     p.add_argument("--dry-run", action="store_true")
+    p.add_argument("--ask", action="store_true", help="ask for the codename of each new company and person")
+    p.add_argument("--ask-all", action="store_true", help="with --ask, ask for identifiers too")
     verb("rehydrate", rehydrate, "project", "files").add_argument("--out", default="out")
     verb("list", list_projects)
     verb("show", show, "project")
+    verb("edit", edit, "project").add_argument("--editor", default="")
     verb("add-entry", add_entry, "project", "kind", "original", "codename")
     args = parser.parse_args(argv)
     return args.f(SparkSession.builder.appName("velario").getOrCreate(), args)

@@ -88,28 +88,56 @@ def drop_covered(clusters: DataFrame) -> DataFrame:
 
 
 def merge_persons(clusters: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """PER clusters that read like an ORG variant join that ORG (the most frequent of several).
+    """PER clusters that read like an ORG variant join that ORG, the first in cluster order.
 
     Names meet on their first two or last two normalised characters, long ones also on any four
     in a row: a name under 20 characters that differs at both ends stays under 90, and a longer
-    one at 90 or more keeps four characters in a row. A person matches through the ORG's own
-    variants, not through other persons merged into it.
+    one at 90 or more keeps four characters in a row. Persons join one after the other, and those
+    that have joined count as variants of their ORG for the persons after them: that is a fixed
+    point, reached in as many rounds as the longest chain has names.
     """
+    variants = F.explode("variants").alias("v")
+    orgs = clusters.where("kind = 'ORG'").select(_cluster_order().alias("org"), variants).select("org", names.normalize_org(F.col("v")).alias("org_norm")).distinct()
+    persons = clusters.where("kind = 'PER'").select(_cluster_order().alias("per"), "canonical", "variants", names.normalize_org(F.col("canonical")).alias("norm"))
+    persons = cut(persons)
+    own = _near(persons.select("per", "norm"), orgs, "org", threshold)
+    earlier = persons.select(F.col("per").alias("first"), F.explode("variants").alias("v")).select("first", names.normalize_org(F.col("v")).alias("org_norm")).distinct()
+    chained = cut(_near(persons.select("per", "norm"), earlier, "first", threshold).where("first < per"))
+    own = cut(own)
+    home = own.groupBy("per").agg(F.min("org").alias("org"))
+    if not chained.isEmpty():
+        home, before = cut(home), -1
+        while True:
+            via = chained.join(home.select(F.col("per").alias("first"), "org"), "first").select("per", "org")
+            home = cut(own.unionByName(via).groupBy("per").agg(F.min("org").alias("org")))
+            now = home.agg(F.bit_xor(F.xxhash64("per", "org"))).first()[0]
+            if now == before:
+                break
+            before = now
+    home = home.join(persons.select("per", "canonical"), "per").select("canonical", F.col("org.text").alias("org"), "per")
+    joined = persons.select("canonical", "variants").join(home, "canonical").join(clusters.where("kind = 'PER'").select("canonical", "total_count"), "canonical")
+    moved = joined.groupBy("org").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("per", "variants"))), lambda p: p["variants"])).alias("more"), F.sum("total_count").alias("more_count")).withColumnRenamed("org", "canonical").withColumn("kind", F.lit("ORG"))
+    kept = clusters.join(home.select("canonical", F.lit("PER").alias("kind")), ["kind", "canonical"], "left_anti").join(moved, ["kind", "canonical"], "left")
+    return kept.select("kind", "canonical", F.when(F.col("more").isNull(), F.col("variants")).otherwise(F.concat("variants", "more")).alias("variants"), (F.col("total_count") + F.coalesce("more_count", F.lit(0))).alias("total_count"), "account_codes")
+
+
+def _cluster_order() -> Column:
+    """Clusters in the order in which leaders are made: longest canonical name, then most frequent."""
+    return F.struct((-F.length("canonical")).alias("n"), (-F.col("total_count")).alias("c"), F.col("canonical").alias("text"))
+
+
+def _near(left: DataFrame, right: DataFrame, key: str, threshold: float) -> DataFrame:
+    """(per, key) of left(per, norm) and right(key, org_norm) whose names reach the threshold."""
     from velario.functions.similarity import indel_ratio
 
     def ends(norm: Column) -> Column:
         grams = F.when(F.length(norm) >= 18, F.transform(F.sequence(F.lit(1), F.length(norm) - 3), lambda i: F.substring(norm, i, F.lit(4)))).otherwise(F.array().cast("array<string>"))
         return F.explode(F.array_distinct(F.concat(F.array(F.concat(F.lit("<"), F.substring(norm, 1, 2)), F.concat(F.lit(">"), F.right(norm, F.lit(2)))), grams)))
 
-    orgs = clusters.where("kind = 'ORG'").select(F.col("canonical").alias("org"), F.col("total_count").alias("n"), F.explode("variants").alias("v"))
-    orgs = orgs.select("org", "n", names.normalize_org(F.col("v")).alias("org_norm"))
-    persons = clusters.where("kind = 'PER'").select("canonical", "variants", "total_count", names.normalize_org(F.col("canonical")).alias("norm"))
-    pairs = persons.select("canonical", "norm", ends(F.col("norm")).alias("end")).join(orgs.select("org", "n", "org_norm", ends(F.col("org_norm")).alias("end")), "end")
-    near = pairs.where((F.abs(F.length("norm") - F.length("org_norm")) * 9 <= F.length("norm") + F.length("org_norm")) & (indel_ratio(F.col("norm"), F.col("org_norm")) >= threshold))
-    home = near.groupBy("canonical").agg(F.min_by("org", F.struct(-F.length("org"), -F.col("n"), F.col("org"))).alias("org"))
-    moved = persons.join(home, "canonical").groupBy("org").agg(F.flatten(F.array_sort(F.collect_list("variants"))).alias("more"), F.sum("total_count").alias("more_count")).withColumnRenamed("org", "canonical").withColumn("kind", F.lit("ORG"))
-    kept = clusters.join(home.select("canonical", F.lit("PER").alias("kind")), ["kind", "canonical"], "left_anti").join(moved, ["kind", "canonical"], "left")
-    return kept.select("kind", "canonical", F.when(F.col("more").isNull(), F.col("variants")).otherwise(F.concat("variants", "more")).alias("variants"), (F.col("total_count") + F.coalesce("more_count", F.lit(0))).alias("total_count"), "account_codes")
+    met = left.select("per", "norm", ends(F.col("norm")).alias("end")).join(right.select(key, "org_norm", ends(F.col("org_norm")).alias("end")), "end")
+    fits = F.abs(F.length("norm") - F.length("org_norm")) * 9 <= F.length("norm") + F.length("org_norm")
+    pairs = met.where(fits).select("per", "norm", key, "org_norm").distinct()
+    return pairs.where(indel_ratio(F.col("norm"), F.col("org_norm")) >= threshold).select("per", key).distinct()
 
 
 def cluster_variants(candidates: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

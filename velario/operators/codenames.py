@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from velario.functions import lexicon as lex
 from velario.functions import names
+from velario.operators.cluster import suggestion_groups
 
 MODES = ("account_full", "account_short", "sequential")
 MAPPING = "project string, kind string, kind_ord int, original string, entry_ord int, codename string"
@@ -21,7 +22,7 @@ def existing_codenames(clusters: DataFrame, mapping: DataFrame) -> DataFrame:
     """(kind, canonical, codename): the first entry equal in any case to the first variant that has one."""
     keyed = clusters.select("kind", "canonical", F.posexplode("variants").alias("pos", "variant")).withColumn("low", F.lower("variant"))
     entries = mapping.select(F.lower("original").alias("low"), F.col("codename").alias("known"), "kind_ord", "entry_ord")
-    first = entries.groupBy("low").agg(F.min_by("known", F.struct("kind_ord", "entry_ord")).alias("known"))
+    first = entries.groupBy("low").agg(F.min_by("known", F.struct("kind_ord", "entry_ord", "known")).alias("known"))
     hits = keyed.join(first, "low")
     return hits.groupBy("kind", "canonical").agg(F.min_by("known", "pos").alias("known"))
 
@@ -119,6 +120,43 @@ def merge_rows(review: DataFrame, decisions: DataFrame) -> DataFrame:
     return apply_edits(review, decisions.select("row_id", F.lit(None).cast("boolean").alias("anonymise"), F.lit(None).cast("string").alias("type"), "codename"))
 
 
+def drop_variants(review: DataFrame, wrong: DataFrame) -> DataFrame:
+    """wrong(row_id, variant): variants that don't belong to their row."""
+    listed = wrong.groupBy("row_id").agg(F.collect_set("variant").alias("wrong"))
+    joined = review.join(listed, "row_id", "left")
+    kept = F.when(F.col("wrong").isNull(), F.col("variants")).otherwise(F.array_except("variants", "wrong"))
+    return joined.withColumn("variants", kept).select(*review.columns)
+
+
+def merge_suggestions(review: DataFrame, max_block: int = 600) -> DataFrame:
+    """(group, row_id, canonical, total_count, target): members of each suggested merge.
+
+    The group is its first row's id; the target is the codename of its most frequent member, the
+    first of equals.
+    """
+    entries = review.select(F.col("row_id").alias("id"), "kind", F.col("canonical").alias("name"))
+    groups = suggestion_groups(entries, max_block).select(F.get("ids", F.lit(0)).alias("group"), F.explode("ids").alias("row_id"))
+    members = groups.join(review.select("row_id", "canonical", "total_count", "codename"), "row_id")
+    target = members.groupBy("group").agg(F.max_by("codename", F.struct("total_count", -F.col("row_id"))).alias("target"))
+    return members.join(target, "group").select("group", "row_id", "canonical", "total_count", "target")
+
+
+def unify(review: DataFrame, suggestions: DataFrame, choices: DataFrame | None = None, targets: DataFrame | None = None) -> DataFrame:
+    """The review table after all suggested merges at once.
+
+    choices(row_id, group): rows that go to another group, or with a null group to none;
+    targets(group, codename): codenames chosen for groups, an empty one leaves its members alone.
+    """
+    spark = review.sparkSession
+    choices = spark.createDataFrame([], "row_id long, group long") if choices is None else choices
+    targets = spark.createDataFrame([], "group long, codename string") if targets is None else targets
+    chosen = choices.select("row_id", F.col("group").alias("other"), F.lit(True).alias("moved"))
+    rows = suggestions.join(chosen, "row_id", "left").withColumn("goes", F.when(F.col("moved"), F.col("other")).otherwise(F.col("group")))
+    named = suggestions.select(F.col("group").alias("goes"), "target").distinct().join(targets.select(F.col("group").alias("goes"), "codename"), "goes", "left")
+    named = named.select("goes", F.trim(F.coalesce("codename", "target")).alias("codename"))
+    return merge_rows(review, rows.select("row_id", "goes").join(named, "goes").where("codename <> ''").select("row_id", "codename"))
+
+
 def review_to_mapping(review: DataFrame, project: str) -> DataFrame:
     """Checked rows with a codename, one entry for each variant."""
     kinds = list(lex.KIND_LABELS)

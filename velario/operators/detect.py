@@ -152,7 +152,7 @@ def _candidates(rows: DataFrame, kind: str, source: str) -> DataFrame:
     return rows.select("text", F.lit(kind).alias("kind"), "count", F.lit(source).alias("source"), F.lit(None).cast("string").alias("account_code"))
 
 
-def detect_candidates(fragments: DataFrame, skip_ner: bool = False, layers: tuple[Callable[[DataFrame, DataFrame], DataFrame], ...] = ()) -> DataFrame:
+def detect_candidates(fragments: DataFrame, skip_ner: bool = False, layers: tuple[Callable[[DataFrame, DataFrame], DataFrame], ...] = (), tagger: Callable | None = None) -> DataFrame:
     """All candidates (text, kind, count, source, account_code) of the fragments.
 
     ``layers`` are optional model layers: each takes (fragments, candidates so far) and returns
@@ -162,43 +162,63 @@ def detect_candidates(fragments: DataFrame, skip_ner: bool = False, layers: tupl
     if "before" not in fragments.columns:
         fragments = with_previous_text(fragments)
     found = structured_candidates(fragments)
-    return found if skip_ner else found.unionByName(name_candidates(fragments, layers, found))
+    return found if skip_ner else found.unionByName(name_candidates(fragments, layers, found, tagger))
 
 
-def name_candidates(fragments: DataFrame, layers: tuple[Callable[[DataFrame, DataFrame], DataFrame], ...] = (), known: DataFrame | None = None) -> DataFrame:
-    """The candidates of the fragments beside identifiers; layers see ``known`` and what is found before them."""
-    orgs = heuristic_orgs(fragments)
+def name_candidates(fragments: DataFrame, layers: tuple[Callable[[DataFrame, DataFrame], DataFrame], ...] = (), known: DataFrame | None = None, tagger: Callable | None = None) -> DataFrame:
+    """The candidates of the fragments beside identifiers; layers see ``known`` and what is found before them.
+
+    ``tagger`` (see models.tagged_names) takes the place of the rules where it is given.
+    """
+    nothing = known if known is not None else _candidates(fragments.select("text", F.lit(0).cast("long").alias("count")).where(F.lit(False)), "ORG", "ner")
+    if tagger is None:
+        orgs, persons, places = heuristic_orgs(fragments), heuristic_persons(fragments), None
+    else:
+        tagged, places = tagger(fragments, nothing)
+        orgs, persons = (tagged.where(F.col("kind") == k).select("text", "count") for k in ("ORG", "PER"))
     orgs = orgs.unionByName(suffix_variants(orgs, fragments))
-    found = _candidates(orgs, "ORG", "ner").unionByName(_candidates(heuristic_persons(fragments), "PER", "ner"))
+    found = _candidates(orgs, "ORG", "ner").unionByName(_candidates(persons, "PER", "ner"))
+    if places is not None:
+        found = found.unionByName(places.join(nothing.select("kind", "text"), ["kind", "text"], "left_anti").select(*found.columns))
     for layer in layers:
         found = found.unionByName(layer(fragments, found if known is None else known.unionByName(found)))
     return found
 
 
-def model_layer(extract: Callable, name: str, label_kinds: dict[str, str], threshold: float = 0.5, chunk_chars: int = 3000) -> Callable[[DataFrame, DataFrame], DataFrame]:
+def entity_rows(texts: DataFrame, extract: Callable, chunk_chars: int = 3000) -> DataFrame:
+    """(text, label, score) that ``extract(texts) -> lists of (text, label, score)`` finds in whole texts, chunk by chunk."""
+    chunks = texts.select(F.explode(F.transform(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / chunk_chars).cast("int")), lambda i: F.substring("text", i * chunk_chars + 1, F.lit(chunk_chars)))).alias("text"))
+
+    def run(frames):
+        import pandas as pd
+
+        for frame in frames:
+            hits = [(t.strip(), label, float(score)) for found in extract(frame["text"].tolist()) for t, label, score in found]
+            yield pd.DataFrame(hits, columns=["text", "label", "score"])
+
+    return chunks.mapInPandas(run, "text string, label string, score double")
+
+
+def model_layer(extract: Callable, name: str, label_kinds: dict[str, str], threshold: float = 0.5, chunk_chars: int = 3000, other_kind: str | None = None, clean: Callable[[Column], Column] = F.trim, drop_given_names: bool = True) -> Callable[[DataFrame, DataFrame], DataFrame]:
     """A layer around ``extract(texts) -> list of lists of (text, label, score)``.
 
     Texts are cut into chunks and go to ``extract`` in Arrow batches; results under the threshold,
-    noise, lone given names and texts already found (in any case) are dropped. The fine label stays
-    in ``source`` as ``name:LABEL``.
+    noise, lone given names and texts already found (in any case) are dropped. Labels without a kind
+    get ``other_kind``, or go. The count is that of the text in all fragments, 1 at least; the fine
+    label stays in ``source`` as ``name:LABEL``.
     """
 
     def layer(fragments: DataFrame, known: DataFrame) -> DataFrame:
-        chunks = distinct_texts(fragments).select(F.explode(F.transform(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / chunk_chars).cast("int")), lambda i: F.substring("text", i * chunk_chars + 1, F.lit(chunk_chars)))).alias("text"))
-
-        def run(frames):
-            import pandas as pd
-
-            for frame in frames:
-                hits = [(t.strip(), label, float(score)) for found in extract(frame["text"].tolist()) for t, label, score in found]
-                yield pd.DataFrame(hits, columns=["text", "label", "score"])
-
-        raw = chunks.mapInPandas(run, "text string, label string, score double")
+        raw = entity_rows(distinct_texts(fragments), extract, chunk_chars).withColumn("text", clean(F.col("text")))
         kinds = F.create_map(*[F.lit(x) for kv in label_kinds.items() for x in kv])
-        kept = raw.withColumn("kind", F.try_element_at(kinds, F.col("label"))).where((F.col("score") >= threshold) & F.col("kind").isNotNull())
-        kept = kept.where(~names.is_stopword(F.col("text")) & ~names.is_artefact(F.col("text")) & ~names.is_lone_given_name(F.col("text")))
+        kept = raw.withColumn("kind", F.coalesce(F.try_element_at(kinds, F.col("label")), F.lit(other_kind))).where((F.col("score") >= threshold) & F.col("kind").isNotNull())
+        kept = kept.where((F.length("text") > 0) & ~names.is_stopword(F.col("text")) & ~names.is_artefact(F.col("text")))
+        if drop_given_names:
+            kept = kept.where((F.length("text") >= 2) & ~names.is_lone_given_name(F.col("text")))
         new = kept.withColumn("low", F.lower("text")).join(known.select(F.lower(F.trim("text")).alias("low")).distinct(), "low", "left_anti")
-        best = new.groupBy("low").agg(F.max_by(F.struct("text", "kind", "label"), "score").alias("b"), F.count(F.lit(1)).alias("count"))
-        return best.select("b.text", "b.kind", "count", F.concat(F.lit(f"{name}:"), "b.label").alias("source"), F.lit(None).cast("string").alias("account_code"))
+        best = new.groupBy("low").agg(F.max_by(F.struct("text", "kind", "label"), F.struct("score", "text", "label")).alias("b")).select("b.*")
+        counted = substring_counts(best.select("text"), fragments, "text").withColumnRenamed("text", "t")
+        joined = best.join(counted, F.col("text") == F.col("t"), "left")
+        return joined.select("text", "kind", F.coalesce("count", F.lit(1)).alias("count"), F.concat(F.lit(f"{name}:"), "label").alias("source"), F.lit(None).cast("string").alias("account_code"))
 
     return layer

@@ -68,6 +68,23 @@ class MappingStore:
             fs.delete(p, True)
         return version
 
+    def save_session(self, project: str, review: DataFrame) -> None:
+        """Keep an unfinished review table; a later one takes its place."""
+        fs, path = self._fs(f"{self.root}/sessions/{project}")
+        _, new = self._fs(f"{self.root}/sessions/{project}.new")
+        review.write.mode("overwrite").parquet(f"{self.root}/sessions/{project}.new")
+        fs.delete(path, True)
+        fs.rename(new, path)
+
+    def load_session(self, project: str) -> DataFrame | None:
+        """The review table that was left unfinished, or None."""
+        fs, path = self._fs(f"{self.root}/sessions/{project}")
+        return self.spark.read.parquet(f"{self.root}/sessions/{project}") if fs.exists(path) else None
+
+    def clear_session(self, project: str) -> None:
+        fs, path = self._fs(f"{self.root}/sessions/{project}")
+        fs.delete(path, True)
+
     def log(self, project: str, action: str, **counts: int) -> None:
         """Append one audit event: counts only, never a name."""
         extra = set(counts) - set(AUDIT.names)

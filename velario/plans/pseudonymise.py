@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from velario.operators import cluster, codenames, detect, doctype, ledger
+from velario.operators import cluster, codenames, detect, doctype, ledger, models
 from velario.operators.lineage import cut
 from velario.operators.store import MappingStore
 from velario.sources import ooxml
@@ -44,14 +44,20 @@ def document_types(files: DataFrame, fragments: DataFrame, entities: DataFrame)
     return doctype.guess_doctype(rows.select("doc_id", "suffix", F.coalesce("n_entities", F.lit(0)).alias("n_entities"), F.coalesce("n_sheets", F.lit(0)).alias("n_sheets"), F.coalesce("legal", empty).alias("legal"), F.coalesce("teaser", empty).alias("teaser"), F.coalesce("readable", F.lit(True)).alias("readable")))
 
 
-def analyse(spark: SparkSession, path: str | list[str], store: MappingStore, project: str, forced: str = "auto", mode: str = "account_full", main_company: str = "", layers: tuple = ()) -> Analysis:
-    """Read files once; ledgers give their counterparties, other documents their names."""
+def analyse(spark: SparkSession, path: str | list[str], store: MappingStore, project: str, forced: str = "auto", mode: str = "account_full", main_company: str = "", layers: tuple = (), settings: models.Settings | None = None) -> Analysis:
+    """Read files once; ledgers give their counterparties, other documents their names.
+
+    ``settings`` switch on model layers and OCR; those of the environment hold where none are given.
+    """
     if forced not in FORCED:
         raise ValueError(f"forced must be one of {FORCED}")
+    settings = settings or models.Settings.from_env()
+    layers = (*layers, *models.layers(settings))
+    tagger = models.tagged_names(models.tagger_extract(settings)) if settings.tagger else None
     files = ooxml.read_files(spark, path)
     order = cut(in_order(files))
     cells = cut(ooxml.extract_cells(files).join(order, "doc_id"))
-    fragments = cut(ooxml.extract_fragments(files))
+    fragments = cut(ooxml.extract_fragments(files, ocr=models.ocr_reader(settings)))
     layout = ledger.ledger_layout(cells)
     entities = cut(ledger.ledger_entities(ledger.ledger_rows(cells, layout)))
     if forced in ("teaser_im", "legal"):
@@ -61,8 +67,9 @@ def analyse(spark: SparkSession, path: str | list[str], store: MappingStore, pro
     shown = cut(detect.with_previous_text(texts))
     with_type = shown.join(types.select("doc_id", "doctype"), "doc_id")
     free = cut(with_type.where(doctype.uses_ner(F.col("doctype"), forced)).drop("doctype"))
-    found = ledger.ledger_candidates(entities).unionByName(ledger.named_column_candidates(cells)).unionByName(detect.structured_candidates(shown))
-    found = found.unionByName(detect.name_candidates(free, layers=layers))
+    structured = cut(detect.structured_candidates(shown))
+    found = ledger.ledger_candidates(entities).unionByName(ledger.named_column_candidates(cells)).unionByName(structured)
+    found = found.unionByName(detect.name_candidates(free, layers, structured, tagger))
     # Each step below is read several times.
     found = cut(found)
     clusters = cut(cluster.cluster_variants(found))
