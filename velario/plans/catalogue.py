@@ -165,7 +165,16 @@ def _known(candidates: DataFrame) -> DataFrame:
     return rows.selectExpr("'demo' as project", "kind", "0 as kind_ord", "upper(text) as original", "cast(row_number() over (partition by kind order by text) - 1 as int) as entry_ord", "concat('[Antes-', account_code, ']') as codename")
 
 
-@query()
+#: The first entry of each name in lower case, as existing_codenames takes it.
+FIRST_KNOWN = f"select low, codename as known from (select lower(original) as low, codename, row_number() over (partition by lower(original) order by kind_ord, entry_ord, codename) as r from ({KNOWN}) e) x where r = 1"
+_PLACEHOLDER = " ".join(f"when '{k}' then concat('[{label}-', case when length(n) < {width} then lpad(n, {width}, '0') else n end, ']')" for k, (label, width) in lex.PLACEHOLDERS.items())
+
+
+@query(f"""
+  with c as (select c.kind, c.text as canonical, c.count as total_count, k.known from ({CANDIDATES}) c left join ({FIRST_KNOWN}) k on k.low = lower(c.text)),
+  s as (select kind, count(*) as seed from ({KNOWN}) e group by kind),
+  r as (select c.*, cast(coalesce(seed, 0) + row_number() over (partition by c.kind, known is null order by total_count desc, canonical) as varchar) as n from c left join s on s.kind = c.kind)
+  select kind, canonical, case when known is not null then known else case kind {_PLACEHOLDER} end end as codename from r""")
 def codename_sequential(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = cut(ledger_candidates(spark, sf_dir))
     review = codenames.assign_codenames(_plain_clusters(found), cut(_known(found)), "demo", "sequential")
@@ -301,7 +310,12 @@ def indel_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("k", "a", "b", F.round(indel_ratio(F.col("a"), F.col("b")), 6).alias("ratio"))
 
 
-@query()
+#: Both spellings of each client with their normal forms and ratio; names of different clients are never alike.
+PAIRS = f"select *, case when a = b then 100.0 else {_LCS} * 200.0 / (length(a) + length(b)) end as ratio from (select *, {_norm_org('original')} as a, {_norm_org('variant')} as b from ({fx.VARIANTS}) v) x"
+_ALIKE = "a <> b and ((least(length(a), length(b)) >= 4 and (starts_with(a, b) or starts_with(b, a))) or (least(length(a), length(b)) >= 6 and ratio >= 82 and ratio < 95))"
+
+
+@query(f"select k, original, variant from ({PAIRS}) p where {_ALIKE}")
 def suggestion_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _variants(spark, sf_dir)
     return rows.where(may_be_same_names(F.col("original"), F.col("variant"))).select("k", "original", "variant")
@@ -313,16 +327,27 @@ def _variant_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy("kind", "text").agg(F.count(F.lit(1)).alias("count"), F.min("account_code").alias("account_code")).withColumn("source", F.lit("pgc"))
 
 
-@query()
+_LEAD = "case when length(original) > length(variant) or (length(original) = length(variant) and original < variant) then original else variant end"
+_LED = "case when length(original) > length(variant) or (length(original) = length(variant) and original < variant) then variant else original end"
+CLUSTERS = f"""
+  select kind, {_LEAD} as canonical, [{_LEAD}, {_LED}] as variants, cast(2 as bigint) as total_count, concat('430', k) as code from ({PAIRS}) p where ratio >= 90 and abs(length(a) - length(b)) <= 6
+  union all select kind, unnest([original, variant]), [unnest([original, variant])], 1, concat('430', k) from ({PAIRS}) p where ratio < 90 or abs(length(a) - length(b)) > 6"""
+
+
+@query(f"select kind, canonical, array_to_string(variants, '|') as variants, total_count, code as account_codes from ({CLUSTERS}) c")
 def cluster_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cluster.cluster_variants(_variant_candidates(spark, sf_dir))
+    found = cluster.cluster_variants(_variant_candidates(spark, sf_dir))
+    return found.select("kind", "canonical", F.array_join("variants", "|").alias("variants"), "total_count", F.array_join("account_codes", "|").alias("account_codes"))
 
 
-@query()
+@query(f"""
+  with e as (select kind, a, count(*) as n from (select kind, substr(a, 1, 2) as a from ({PAIRS}) p union all select kind, substr(b, 1, 2) from ({PAIRS}) p) x group by kind, a)
+  select p.kind, concat(2 * k, ',', 2 * k + 1) as ids from ({PAIRS}) p join e on e.kind = p.kind and e.a = substr(p.a, 1, 2) where {_ALIKE.replace("a <> b", "p.a <> b").replace("length(a)", "length(p.a)").replace("starts_with(a, b)", "starts_with(p.a, b)").replace("starts_with(b, a)", "starts_with(b, p.a)")} and n <= 600""")
 def suggestion_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = _variants(spark, sf_dir).select((F.col("k") * 2).alias("id"), "kind", F.col("original").alias("name"))
     more = _variants(spark, sf_dir).select((F.col("k") * 2 + 1).alias("id"), "kind", F.col("variant").alias("name"))
-    return cluster.suggestion_groups(entries.unionByName(more))
+    found = cluster.suggestion_groups(entries.unionByName(more))
+    return found.select("kind", F.array_join(F.transform("ids", lambda i: i.cast("string")), ",").alias("ids"))
 
 
 @query(f"select kind, canonical from (select 'ORG' as kind, original as canonical, k from ({fx.VARIANTS}) v where k % 2 = 1 union all select 'CLIENTE', original, k from ({fx.VARIANTS}) v where k % 2 = 0) t")
@@ -463,29 +488,156 @@ def detector_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "truth", "hits", "missed", "false_positives", F.col("coverage").cast("double").alias("coverage"))
 
 
-@query()
+
+
+def _consuming(shape: str) -> str:
+    """A detection shape for DuckDB: ASCII classes, the end that Spark only looks at is read too; the name is group 1."""
+    head, end = shape.replace("(?U)", "").split("(?=")
+    return ("(" + head + ")(?:" + end).replace("'", "''")
+
+
+_IS_ARTEFACT = f"(length(text) < 2 or {_DOCREF} or " + " or ".join(f"regexp_matches(trim(text), '{x}')" for x in _SHAPES) + ")"
+_CUT = "rtrim(regexp_replace(trim({}), ',+$', ''))"
+ORGS = f"""
+  select text, count(*) as count from (
+    select text from (select {_CUT.format("f")} as text, trim(p) as part from (select unnest(regexp_extract_all(text, '{_consuming(detect.ORG_SHAPE)}', 1)) as f, unnest(regexp_extract_all(text, '{_consuming(detect.ORG_SHAPE)}', 2)) as p from (select distinct text from ({fx.NOTES}) n) t) m) x
+      where lower(part) not in {_list(lex.STOPWORDS)} and not {_IS_ARTEFACT}
+    union all select text from (select trim(unnest(regexp_extract_all(text, '{detect.UPPER_SHAPE.replace("(?U)", "")}', 1))) as text from (select distinct text from ({fx.NOTES}) n) t) y
+      where lower(text) not in {_list(lex.STOPWORDS)} and len(list_filter(string_split(text, ' '), lambda w: lower(w) not in {_list(lex.STOPWORDS)})) > 0 and not {_IS_ARTEFACT}) z group by text"""
+
+
+@query(ORGS)
 def heuristic_org(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.heuristic_orgs(_notes(spark, sf_dir))
 
 
-@query()
+_SEGMENT = "concat(upper(substr(c_mktsegment, 1, 1)), lower(substr(c_mktsegment, 2)))"
+
+
+@query(f"""
+  select text, count(*) as count from (select distinct c_mktsegment, unnest(case when lower(c_mktsegment) in {_list(lex.STOPWORDS)} then ['Luis Customer'] else [concat('Carmen ', {_SEGMENT}), 'Luis Customer'] end) as text from customer) t group by text""")
 def heuristic_person(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "customer").select(F.lit("b").alias("batch_id"), F.col("c_custkey").alias("doc_id"), F.concat(F.lit("Firma Carmen "), F.initcap("c_mktsegment"), F.lit(" y Luis "), F.initcap(F.regexp_replace("c_name", "[^A-Za-z]", "")), F.lit(" hoy")).alias("text"))
     return detect.heuristic_persons(rows)
 
 
-@query()
+_SUBSTRINGS = "cast(sum((length(t.text) - length(replace(t.text, v.text, ''))) / length(v.text)) as bigint)"
+
+
+@query(f"""
+  with o as materialized ({ORGS}), t as materialized (select distinct text from ({fx.NOTES}) n),
+  f as (select distinct {_CUT.format("m")} as text from (select o.text as org, unnest(regexp_extract_all(t.text, concat('(?i)(', regexp_escape(o.text), '{_consuming(detect.SUFFIX_SHAPE)[1:]}'), 1)) as m from o join t on contains(lower(t.text), lower(o.text))) x where {_CUT.format("m")} <> org),
+  v as (select f.text from f anti join o on o.text = f.text),
+  i as (select distinct kind, value from (select 'CIF' as kind, cif as value from ({fx.CLIENTS}) c where k % 4 = 0 union all select 'IBAN', iban from ({fx.CLIENTS}) c where k % 4 = 2
+        union all select 'EMAIL', unnest(regexp_extract_all(text, '{EMAIL_RE2}')) from t) y)
+  select text, 'ORG' as kind, count, 'ner' as source, cast(null as varchar) as account_code from o
+  union all select v.text, 'ORG', {_SUBSTRINGS}, 'ner', null from v join t on contains(t.text, v.text) group by v.text
+  union all select v.text, v.kind, {_SUBSTRINGS}, 'regex', null from (select kind, value as text from i) v join t on contains(t.text, v.text) group by v.text, v.kind""")
 def detect_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.detect_candidates(cut(_notes(spark, sf_dir).withColumn("before", F.lit(""))))
 
 
-@query()
+_TYPE = " ".join(f"when '{k}' then '{v}'" for k, v in lex.KIND_TO_TYPE.items())
+
+
+@query(f"""
+  with c as (select *, row_number() over () as i from ({CLUSTERS}) x),
+  h as (select i, arg_min(known, pos) as known from (select i, unnest(variants) as v, unnest(range(len(variants))) as pos from c) y join ({FIRST_KNOWN}) k on k.low = lower(v) group by i),
+  r as (select kind, canonical, code as accounts, total_count, coalesce(known, concat('[Cliente-', code, ']')) as codename from c left join h using (i) union all select 'ORG', 'Global Menta', '—', 0, 'Demo')
+  select cast(row_number() over (order by total_count desc, canonical, kind) - 1 as int) as row_id, case kind {_TYPE} end as type, kind, canonical, accounts, total_count, codename from r""")
 def assign_codenames(spark: SparkSession, sf_dir: str) -> DataFrame:
     clusters = cut(cluster.cluster_variants(_variant_candidates(spark, sf_dir)))
     review = codenames.assign_codenames(clusters, cut(_known(ledger_candidates(spark, sf_dir))), "demo", "account_full", "Global Menta")
     return review.select("row_id", "type", "kind", "canonical", "accounts", "total_count", "codename")
 
 
+# ---- Odd shapes, edits and versions --------------------------------------------------------------
+
+#: Identifiers in capitals and not, with blanks, cut short, too long, empty and null.
+MESSY = f"""
+  select code, k, case k % 7 when 1 then lower(cif) when 2 then concat('  ', cif, ' ') when 3 then substr(cif, 1, 8) when 4 then null when 5 then concat(cif, '0') when 6 then '' else cif end as cif,
+    case k % 7 when 1 then lower(nif) when 2 then concat('  ', nif, ' ') when 3 then substr(nif, 2) when 4 then null when 5 then concat('X', substr(nif, 2)) when 6 then '' else nif end as nif,
+    case k % 7 when 1 then lower(iban) when 2 then concat(substr(iban, 1, 4), ' ', substr(iban, 5, 4), '-', substr(iban, 9)) when 3 then substr(iban, 1, 23) when 4 then null when 5 then concat('DE', substr(iban, 3)) when 6 then '' else iban end as iban
+  from ({fx.IDS}) i"""
+_DOUBLED = " + ".join(f"case when cast(substr(c, {i}, 1) as int) > 4 then 2 * cast(substr(c, {i}, 1) as int) - 9 else 2 * cast(substr(c, {i}, 1) as int) end" if i % 2 == 0 else f"cast(substr(c, {i}, 1) as int)" for i in range(2, 9))
+
+
+@query(f"""
+  with u as (select *, upper(trim(cif)) as c, upper(trim(nif)) as n, replace(replace(upper(trim(iban)), ' ', ''), '-', '') as b from ({MESSY}) m),
+  w as (select *, case when regexp_matches(c, '^[ABCDEFGHJKLMNPQRSUVW][0-9]{{7}}[0-9A-J]$') then (10 - ({_DOUBLED}) % 10) % 10 end as d,
+        case when regexp_matches(n, '^([XYZ][0-9]{{7}}|[0-9]{{8}})[A-Z]$') then cast(translate(substr(n, 1, 8), 'XYZ', '012') as int) % 23 end as l, case when regexp_matches(b, '^ES[0-9]{{22}}$') then cast(concat(substr(b, 5), '1428', substr(b, 3, 2)) as hugeint) % 97 end as m from u)
+  select code, coalesce(right(c, 1) in (cast(d as varchar), substr('JABCDEFGHI', cast(d + 1 as int), 1)), false) as cif, coalesce(right(n, 1) = substr('TRWAGMYFPDXBNJZSQVHLCKE', cast(l + 1 as int), 1), false) as nif, coalesce(m = 1, false) as iban from w""")
+def messy_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fx.frame(spark, sf_dir, MESSY)
+    return rows.select("code", ids.valid_cif(F.col("cif")).alias("cif"), ids.valid_nif(F.col("nif")).alias("nif"), ids.valid_iban(F.col("iban")).alias("iban"))
+
+
+#: Addresses and phones as people write them, beside what only looks like one.
+CONTACTS = f"""
+  select k, concat(case k % 6 when 0 then 'Vive en Calle Mayor ' when 1 then 'Sede: Avda. Del Puerto, ' when 2 then 'Plaza Nueva ' when 3 then 'calle mayor ' when 4 then 'Ctra. Vieja de Olot ' else 'Paseo ' end, cast(k % 300 as string),
+    case k % 4 when 0 then 'B, Madrid Centro' when 1 then '' when 2 then ' bajo' else ', Lleida' end, '. Tel ',
+    case k % 5 when 0 then '+34 ' when 1 then '34-' when 2 then '0' else '' end, case k % 7 when 0 then '6' when 1 then '71' when 2 then '9' when 3 then '8' when 4 then '5' when 5 then '70' else '7' end,
+    lpad(cast((k * 7919) % 100000000 as string), 8, '0'), case k % 3 when 0 then ' hoy' when 1 then '.' else '-x' end) as text from ({fx.CLIENTS}) c"""
+
+
+def _re2(pattern: str) -> str:
+    return pattern.replace("'", "''")
+
+
+@query(f"select k, unnest(regexp_extract_all(text, '{_re2(ids.ADDRESS)}')) as address from ({CONTACTS}) c")
+def address_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.frame(spark, sf_dir, CONTACTS).select("k", F.explode(ids.find_all(F.col("text"), ids.ADDRESS)).alias("address"))
+
+
+@query(f"select k, unnest(regexp_extract_all(text, '{_re2(ids.PHONE)}')) as phone from ({CONTACTS}) c")
+def phone_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.frame(spark, sf_dir, CONTACTS).select("k", F.explode(ids.find_all(F.col("text"), ids.PHONE)).alias("phone"))
+
+
+#: Fragments of three files in turn: labels, names, nulls and empty texts.
+SHEETS = f"select cast((k - 1) % 3 as int) as file_ord, cast(9 - (k - 1) % 3 as bigint) as doc_id, cast(floor((k - 1) / 3) as bigint) as seq, case k % 5 when 0 then null when 1 then 'CIF:' when 2 then '' else name end as text from ({fx.CLIENTS}) c"
+
+
+@query(f"""
+  select file_ord, seq, regexp_replace(right(coalesce(ahead, ''), 14), '^\\n+', '') as before from (
+    select file_ord, seq, string_agg(concat(right(coalesce(text, ''), 14), chr(10)), '') over (order by file_ord, seq rows between 14 preceding and 1 preceding) as ahead from ({SHEETS}) s) x""")
+def previous_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stands ahead of a fragment, across the borders of fragments and files."""
+    rows = cut(fx.frame(spark, sf_dir, SHEETS).withColumn("batch_id", F.lit("b")))
+    return detect.with_previous_text(rows).select("file_ord", "seq", F.regexp_replace("before", "^\n+", "").alias("before"))
+
+
+@query(r"select p_partkey, regexp_replace(concat(p_name, ' *', p_brand, '_'), '([\\`*_{}\[\]()#+\-.!|>~$])', '\\\1', 'g') as escaped, regexp_matches(replace(p_name, ' ', case when p_partkey % 2 = 0 then '_' else '.' end), '^[a-z0-9_-]+$') as is_name from part")
+def text_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.replace("p_name", F.lit(" "), F.when(F.col("p_partkey") % 2 == 0, "_").otherwise("."))
+    return table(spark, sf_dir, "part").select("p_partkey", names.escape_markdown(F.concat("p_name", F.lit(" *"), "p_brand", F.lit("_"))).alias("escaped"), names.is_project_name(name).alias("is_name"))
+
+
+@query(f"""
+  with r as (select k as row_id, name, case when k % 3 = 0 then 'BANCO' else 'PROVEEDOR' end as kind, case when k % 5 = 0 then concat('[X-', k, ']') else concat('[P-', k, ']') end as codename from ({fx.SUPPLIERS}) s where k % 7 <> 0)
+  select 'demo' as project, kind, case kind when 'BANCO' then {list(lex.KIND_LABELS).index("BANCO")} else {list(lex.KIND_LABELS).index("PROVEEDOR")} end as kind_ord, original, cast(row_number() over (partition by kind order by row_id, pos) - 1 as int) as entry_ord, codename
+  from (select row_id, kind, codename, unnest([name, lower(name)]) as original, unnest([0, 1]) as pos from r) x""")
+def review_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Types, codenames and marks changed in the review table, then the mapping of the marked rows."""
+    rows = fx.frame(spark, sf_dir, fx.SUPPLIERS)
+    review = rows.select(F.col("k").alias("row_id"), F.lit(True).alias("anonymise"), F.lit("Proveedor").alias("type"), F.lit("PROVEEDOR").alias("kind"), F.array("name", F.lower("name")).alias("variants"), F.concat(F.lit("[P-"), "k", F.lit("]")).alias("codename"))
+    edits = rows.select(F.col("k").alias("row_id"), F.when(F.col("k") % 7 == 0, False).alias("anonymise"), F.when(F.col("k") % 3 == 0, "Banco").alias("type"), F.when(F.col("k") % 5 == 0, F.concat(F.lit("[X-"), "k", F.lit("]"))).alias("codename"))
+    return codenames.review_to_mapping(codenames.apply_edits(review, edits), "demo")
+
+
+_OLD = f"select 'demo' as project, 'ORG' as kind, 0 as kind_ord, name as original, cast(k as int) as entry_ord, concat('[A-', k, ']') as codename from ({fx.SUPPLIERS}) s where k % 3 <> 0"
+_NEW = f"select 'demo' as project, 'ORG' as kind, 0 as kind_ord, name as original, cast(k as int) as entry_ord, concat('[B-', k, ']') as codename from ({fx.SUPPLIERS}) s where k % 2 = 0"
+
+
+@query(f"""
+  with o as ({_OLD}), n as ({_NEW}), a as (select n.* from n anti join o on o.original = n.original)
+  select o.project, o.kind, o.kind_ord, o.original, o.entry_ord, coalesce(n.codename, o.codename) as codename from o left join n on n.original = o.original
+  union all select project, kind, kind_ord, original, cast((select max(entry_ord) + 1 from o) + row_number() over (order by entry_ord, original) - 1 as int), codename from a""")
+def mapping_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New codenames take the place of old ones, new names follow after all entries."""
+    return store.upsert(fx.frame(spark, sf_dir, _OLD), fx.frame(spark, sf_dir, _NEW))
+
+
 # ---- Flagship ---------------------------------------------------------------------------------
 
 
