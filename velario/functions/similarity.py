@@ -52,21 +52,38 @@ def may_be_same_names(a: Column, b: Column) -> Column:
     return may_be_same(normalize_org(a), normalize_org(b))
 
 
+class Pattern:
+    """One name to be compared with many: its character table is made once."""
+
+    def __init__(self, name: str):
+        self.name, self.size, self.places = name, len(name), {}
+        for i, c in enumerate(name):
+            self.places[c] = self.places.get(c, 0) | 1 << i
+        self.full = (1 << self.size) - 1
+
+    def ratio(self, other: str) -> float:
+        if other == self.name:
+            return 100.0
+        if not other or not self.size:
+            return 0.0
+        row, full, places = self.full, self.full, self.places
+        for c in other:
+            hit = row & places.get(c, 0)
+            row = (row + hit | row - hit) & full
+        return 200.0 * (self.size - row.bit_count()) / (self.size + len(other))
+
+    def may_reach(self, other: str, ratio: float) -> bool:
+        """What lengths alone allow: two names share the shorter one's characters at most."""
+        return 200 * min(self.size, len(other)) >= ratio * (self.size + len(other))
+
+
 def indel_ratio_py(a: str, b: str) -> float:
-    if a == b:
-        return 100.0
-    if not a or not b:
-        return 0.0
-    places: dict[str, int] = {}
-    for i, c in enumerate(a):
-        places[c] = places.get(c, 0) | 1 << i
-    full = (1 << len(a)) - 1
-    row = full
-    for c in b:
-        hit = row & places.get(c, 0)
-        row = (row + hit | row - hit) & full
-    return 200.0 * (len(a) - row.bit_count()) / (len(a) + len(b))
+    return Pattern(a).ratio(b)
+
+
+def tokens_sorted(a: str) -> str:
+    return " ".join(sorted(a.split()))
 
 
 def token_sort_ratio_py(a: str, b: str) -> float:
-    return indel_ratio_py(" ".join(sorted(a.split())), " ".join(sorted(b.split())))
+    return indel_ratio_py(tokens_sorted(a), tokens_sorted(b))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from velario.functions import lexicon as lex
 from velario.functions import names
-from velario.functions.similarity import indel_ratio_py, token_sort_ratio_py
+from velario.functions.similarity import Pattern, tokens_sorted
 from velario.operators.lineage import cut
 
 THRESHOLD = 90
@@ -37,20 +37,21 @@ def _norm() -> Column:
 def leaders(frame: pd.DataFrame, threshold: float = THRESHOLD) -> pd.DataFrame:
     """Greedy leader clusters of one block, longest texts first."""
     frame = frame.assign(length=frame["text"].str.len()).sort_values(["length", "count", "text"], ascending=[False, False, True])
-    heads: list[tuple[str, dict]] = []
+    heads: list[tuple[str, str, dict]] = []
     for row in frame.itertuples():
-        home = None
-        for norm, cluster in heads:
-            if abs(len(norm) - len(row.norm)) <= MAX_LENGTH_GAP and token_sort_ratio_py(row.norm, norm) >= threshold and indel_ratio_py(row.norm, norm) >= threshold - 10:
+        home, ordered = None, tokens_sorted(row.norm)
+        plain, by_token = Pattern(row.norm), Pattern(ordered)
+        for norm, tokens, cluster in heads:
+            if abs(len(norm) - len(row.norm)) <= MAX_LENGTH_GAP and by_token.may_reach(tokens, threshold) and by_token.ratio(tokens) >= threshold and plain.ratio(norm) >= threshold - 10:
                 home = cluster
                 break
         if home is None:
             home = {"kind": row.kind, "canonical": row.text, "variants": [], "total_count": 0, "account_codes": []}
-            heads.append((row.norm, home))
+            heads.append((row.norm, ordered, home))
         home["variants"].append(row.text)
         home["total_count"] += int(row.count_)
         home["account_codes"] += [c for c in row.codes if c not in home["account_codes"]]
-    return pd.DataFrame([c for _, c in heads], columns=["kind", "canonical", "variants", "total_count", "account_codes"])
+    return pd.DataFrame([c for *_, c in heads], columns=["kind", "canonical", "variants", "total_count", "account_codes"])
 
 
 def _leader_task(threshold: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
@@ -173,7 +174,8 @@ def suggestion_groups(entries: DataFrame, max_block: int = 600) -> DataFrame:
         for a, norm_a in rows:
             if a in used:
                 continue
-            group = [a, *(b for b, norm_b in rows if b != a and b not in used and _same(norm_a, norm_b))]
+            alike = _alike(norm_a)
+            group = [a, *(b for b, norm_b in rows if b != a and b not in used and alike(norm_b))]
             if len(group) > 1:
                 groups.append(group)
                 used.update(group)
@@ -185,14 +187,21 @@ def suggestion_groups(entries: DataFrame, max_block: int = 600) -> DataFrame:
     return keyed.join(sizes, ["kind", "block"]).groupBy("kind", "block").applyInPandas(run, "kind string, ids array<long>")
 
 
-def _same(a: str, b: str) -> bool:
-    if not a or not b or a == b:
-        return False
-    short, long = sorted((a, b), key=len)
-    if len(short) >= 4 and long.startswith(short):
-        return True
-    near = len(short) >= 6 and len(short) * 200 >= (len(a) + len(b)) * 82
-    return near and 82 <= token_sort_ratio_py(a, b) < 95
+def _alike(a: str) -> Callable[[str], bool]:
+    """Whether another normalised name is worth a merge suggestion, as may_be_same says."""
+    by_token = Pattern(tokens_sorted(a))
+
+    def alike(b: str) -> bool:
+        if a == b:
+            return False
+        short, long = sorted((a, b), key=len)
+        if len(short) >= 4 and long.startswith(short):
+            return True
+        if len(short) < 6 or len(short) * 200 < (len(a) + len(b)) * 82:
+            return False
+        return 82 <= by_token.ratio(tokens_sorted(b)) < 95
+
+    return alike
 
 
 def ranked(clusters: DataFrame) -> DataFrame:
