@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns documents; ``run`` writes each stage's result to
 the shared folder and reads it back as the next one's input.
+
+Edge cases: null texts and texts without letters go in the first stage, whose model rejects them; a
+table without labelled rows teaches no language, so nothing stays; an empty table, or a stage that
+keeps nothing, gives an empty result; rows that share an id stay or go together in the copies
+stages and are mixed as separate documents; extra columns stay, but for those that the mix names
+itself; a missing benchmark table is an error, an empty one removes nothing.
 """
 
 from __future__ import annotations
