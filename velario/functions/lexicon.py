@@ -36,11 +36,9 @@ MONTHS = ("Enero", "Febrero", "Marzo", "Abril", "Mayo", "Junio", "Julio", "Agost
 
 #: Month column headings follow a rule: month-month in full and short form, and opening-month.
 STOPWORDS = tuple(
-    sorted(
-        {w.lower() for w in _PLAIN_STOPWORDS}
-        | {f"{m}-{m}".lower() for m in MONTHS}
-        | {f"{m[:3]}-{m[:3]}".lower() for m in MONTHS}
-        | {f"apertura-{m[:3]}".lower() for m in MONTHS}
+    dict.fromkeys(
+        w.lower()
+        for w in (*_PLAIN_STOPWORDS, *(f"{m}-{m}" for m in MONTHS), *(f"{m[:3]}-{m[:3]}" for m in MONTHS), *(f"apertura-{m[:3]}" for m in MONTHS))
     )
 )
 
