@@ -31,7 +31,8 @@ BUCKETS = 8192
 DIMENSION = 16
 #: Bound of the training sample, in rows over all languages.
 MAX_TRAIN_ROWS = 4000
-EPOCHS = 30
+#: Gradient steps of a training, in at most EPOCHS passes over the sample.
+STEPS, EPOCHS = 1500, 30
 BATCH = 64
 SEED = 11
 #: Label counts with more rows are joined without a broadcast.
@@ -123,7 +124,7 @@ def views(text: str) -> list[str]:
     return [text, text[n // 3 : n // 3 + 60], text[n // 2 : n // 2 + 20]]
 
 
-def fit(rows: list[tuple[str, bool, np.ndarray, np.ndarray]], dimension: int = DIMENSION, epochs: int = EPOCHS, seed: int = SEED) -> Model:
+def fit(rows: list[tuple[str, bool, np.ndarray, np.ndarray]], dimension: int = DIMENSION, steps: int = STEPS, epochs: int = EPOCHS, seed: int = SEED) -> Model:
     """rows: (language, for calibration, bucket indices, shares of the n-grams), in a fixed order."""
     languages = sorted({r[0] for r in rows})
     if not languages:
@@ -134,24 +135,18 @@ def fit(rows: list[tuple[str, bool, np.ndarray, np.ndarray]], dimension: int = D
     embedding = rng.uniform(-1, 1, (BUCKETS, dimension)) / dimension
     weights, bias = np.zeros((dimension, len(languages))), np.zeros(len(languages))
 
-    def dense(part) -> np.ndarray:
-        x = np.zeros((len(part), BUCKETS))
-        for i, (_, _, index, share) in enumerate(part):
-            x[i, index] = share
-        return x
-
-    steps, done = epochs * -(-len(train) // BATCH), 0
+    each = -(-len(train) // BATCH)
+    epochs = max(1, min(epochs, -(-steps // each)))
+    steps, done = epochs * each, 0
     for _ in range(epochs):
         order = rng.permutation(len(train))
         for start in range(0, len(train), BATCH):
             part = [train[i] for i in order[start : start + BATCH]]
-            used = np.unique(np.concatenate([r[2] for r in part]))
-            place = np.searchsorted(used, np.concatenate([r[2] for r in part]))
-            x = np.zeros((len(part), len(used)))
-            x[np.repeat(np.arange(len(part)), [len(r[2]) for r in part]), place] = np.concatenate([r[3] for r in part])
+            x = np.zeros((len(part), BUCKETS))
+            x[np.repeat(np.arange(len(part)), [len(r[2]) for r in part]), np.concatenate([r[2] for r in part])] = np.concatenate([r[3] for r in part])
             rate = 1 - done / steps
             done += 1
-            hidden = x @ embedding[used]
+            hidden = x @ embedding
             error = softmax(hidden @ weights + bias)
             error[np.arange(len(part)), [at[r[0]] for r in part]] -= 1
             error /= len(part)
@@ -161,7 +156,7 @@ def fit(rows: list[tuple[str, bool, np.ndarray, np.ndarray]], dimension: int = D
             weights -= 2 * rate / (0.1 + (hidden**2).sum(1).mean()) * (hidden.T @ error)
             bias -= 0.1 * rate * error.sum(0)
             scaled = x / np.maximum((x**2).sum(1, keepdims=True), 1e-12)
-            embedding[used] -= 4 * rate / (1 + (weights**2).sum()) * (scaled.T @ back)
+            embedding -= 4 * rate / (1 + (weights**2).sum()) * (scaled.T @ back)
     model = Model(languages, embedding @ weights, bias)
     calibrate(model, [r for r in rows if r[1]] or rows, at)
     return model
