@@ -31,18 +31,30 @@ def _write(rows: DataFrame, out: str) -> None:
 
 
 def run(spark: SparkSession, args: argparse.Namespace) -> int:
+    """Analyse, ask or unify where told to, save the mapping, write the files and report what is left.
+
+    The review table is kept as the project's session until the files are written; ``--resume``
+    takes it up again instead of a new analysis.
+    """
     store = MappingStore(spark, args.store)
-    found = pseudonymise.analyse(spark, args.files, store, args.project, args.type, args.mode, args.main_company)
-    found.review.select("type", "canonical", "total_count", "codename", "context").orderBy("row_id").show(50, 60)
-    review = found.review
+    files = ooxml.read_files(spark, args.files)
+    review = store.load_session(args.project) if args.resume else None
+    if review is None:
+        found = pseudonymise.analyse(spark, args.files, store, args.project, args.type, args.mode, args.main_company)
+        store.save_session(args.project, found.review)
+        review = store.load_session(args.project)
+    review.select("type", "canonical", "total_count", "codename", "context").orderBy("row_id").show(50, 60)
+    if args.unify:
+        review = codenames.unify(review, codenames.merge_suggestions(review))
     if args.ask:
         review = interactive.resolve(review, store.load(args.project), args.project, ask_all=args.ask_all)
-    new = codenames.review_to_mapping(review, args.project)
     if args.dry_run:
         return 0
+    new = codenames.review_to_mapping(review, args.project)
     store.save(args.project, upsert(store.load(args.project).drop("updated_at"), new))
-    done, report = pseudonymise.apply_mapping(found.files, store, args.project)
+    done, report = pseudonymise.apply_mapping(files, store, args.project)
     _write(done, args.out)
+    store.clear_session(args.project)
     totals = report.agg(F.count(F.lit(1)).alias("files"), F.sum(F.size("surviving")).alias("leaks"), F.count_if(~F.col("verifiable")).alias("unverifiable")).first()
     store.log(args.project, "run", files=totals["files"], entities=store.load(args.project).count(), leaks=totals["leaks"] or 0, unverifiable=totals["unverifiable"])
     report.show(50, 60)
@@ -112,6 +124,8 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--mode", default="account_full", choices=codenames.MODES)
     p.add_argument("--main-company", default="")
     p.add_argument("--dry-run", action="store_true")
+    p.add_argument("--resume", action="store_true", help="go on with the review table that a run left unfinished")
+    p.add_argument("--unify", action="store_true", help="merge all suggested duplicates")
     p.add_argument("--ask", action="store_true", help="ask for the codename of each new company and person")
     p.add_argument("--ask-all", action="store_true", help="with --ask, ask for identifiers too")
     verb("rehydrate", rehydrate, "project", "files").add_argument("--out", default="out")
