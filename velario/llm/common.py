@@ -222,21 +222,17 @@ def add_word_count(docs: DataFrame, text_col: str, keep: list[str], out_col: str
     return source.mapInArrow(run, schema)
 
 
-#: log2 of the slots of a membership bitmap: 512 rows of 4 KB, whatever the input's size.
-BITMAP_BITS = 24
-
-
-def slot_bitmap(rows: DataFrame, *keys: str, bits: int = BITMAP_BITS) -> DataFrame:
+def slot_bitmap(rows: DataFrame, *keys: str, bits: int) -> DataFrame:
     """(bucket, bitmap) with one bit set for the hashed keys of each row; at most 2**bits bits."""
     slot = f"pmod(xxhash64({', '.join(keys)}), {1 << bits})"
     return rows.groupBy(F.expr(f"bitmap_bucket_number({slot})").alias("__bucket")).agg(F.expr(f"bitmap_construct_agg(bitmap_bit_position({slot}))").alias("__bitmap"))
 
 
-def in_bitmap(rows: DataFrame, bitmap: DataFrame, *keys: str, bits: int = BITMAP_BITS, present: bool = True) -> DataFrame:
+def in_bitmap(rows: DataFrame, bitmap: DataFrame, *keys: str, bits: int, present: bool = True) -> DataFrame:
     """Rows whose keys' slot is set: all that were put in, and others by chance only.
 
     With ``present=False`` the rows whose slot is not set (null keys have a slot like any other).
-    The bitmap has a size bound of its own (2 MB at 24 bits), so it is broadcast.
+    The bitmap has a size bound of its own (16 MB at 27 bits, see bits_for), so it is broadcast.
     """
     slot = f"pmod(xxhash64({', '.join(keys)}), {1 << bits})"
     byte = "cast(conv(hex(substring(__bitmap, cast(__bit div 8 as int) + 1, 1)), 16, 10) as int)"
@@ -282,22 +278,3 @@ def slot_sets(rows: DataFrame, a: str, conditions: list[Column], b: str | None =
     for r in found.collect():
         arrays[r["i"]][r["bucket"] - 1] = np.frombuffer(bytes(r["bitmap"]), np.uint8)
     return [SlotSet(n, x.ravel()) for n, x in zip(bits, arrays, strict=True)]
-
-
-_SLOTS = 1 << BITMAP_BITS
-
-
-def slot_bits(rows: DataFrame, a: str, b: str) -> np.ndarray:
-    """Bit array over the slots of two long columns: 2 MB on the driver, whatever the input's size."""
-    slot = f"pmod(pmod({a}, {_SLOTS}) + 7919 * pmod({b}, {_SLOTS}), {_SLOTS}) + 1"
-    found = rows.groupBy(F.expr(f"bitmap_bucket_number({slot})").alias("bucket")).agg(F.expr(f"bitmap_construct_agg(bitmap_bit_position({slot}))").alias("bitmap"))
-    out = np.zeros((_SLOTS // 32768, 4096), np.uint8)
-    for r in found.collect():
-        out[r["bucket"] - 1] = np.frombuffer(bytes(r["bitmap"]), np.uint8)
-    return out.ravel()
-
-
-def has_slot(bits: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """For each pair whether its slot is set: true for all that were put in, else by chance only."""
-    slot = (a % _SLOTS + 7919 * (b % _SLOTS)) % _SLOTS
-    return (bits[slot // 8] >> (slot % 8).astype(np.uint8) & 1).astype(bool)

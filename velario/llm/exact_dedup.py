@@ -3,9 +3,8 @@
 1. One scan makes (id, length, hash of a prefix) of each normalised text. Lengths, then length and
    prefix, are counted with map-side combining, so a group that holds a third of all rows costs
    each task one row.
-2. The groups with two rows or more become a bit array of fixed size (2 MB): the only thing that
-   tasks share, its size does not depend on the input. A slot set by chance only adds a row to
-   step 3.
+2. The groups with two rows or more become a bit array of 16 slots a group, 16 MB at most: the only
+   thing that tasks share. A slot set by chance only adds a row to step 3.
 3. A second scan makes the full SHA-256 of the rows whose slot is set, and of no other row. No
    text is ever shuffled.
 
@@ -26,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from velario.llm.common import Scratch, binary_texts, has_slot, normal_bytes, slices, slot_bits
+from velario.llm.common import Scratch, SlotSet, binary_texts, normal_bytes, slices, slot_sets
 
 #: Bytes of normalised text in the prefix hash.
 PREFIX_BYTES = 256
@@ -56,9 +55,9 @@ def length_and_prefix(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return _source(docs, id_col, text_col).mapInArrow(run, "id long, len long, prefix long")
 
 
-def full_hashes(docs: DataFrame, id_col: str, text_col: str, bits: np.ndarray | None = None) -> DataFrame:
-    """(id, full_hash): SHA-256 in hex of the normalised text, of rows whose slot is set in ``bits``."""
-    shared = None if bits is None else docs.sparkSession.sparkContext.broadcast(bits)  # 2 MB
+def full_hashes(docs: DataFrame, id_col: str, text_col: str, slots: SlotSet | None = None) -> DataFrame:
+    """(id, full_hash): SHA-256 in hex of the normalised text, of rows whose prefix and length are in ``slots``."""
+    shared = None if slots is None else docs.sparkSession.sparkContext.broadcast(slots)  # 16 MB at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -67,7 +66,7 @@ def full_hashes(docs: DataFrame, id_col: str, text_col: str, bits: np.ndarray |
                 ids = part.column("id")
                 if shared is not None:
                     lengths, prefixes = _first_keys(texts)
-                    keep = has_slot(shared.value, prefixes, lengths)
+                    keep = shared.value.has(prefixes, lengths)
                     texts, ids = [t for t, k in zip(texts, keep, strict=True) if k], ids.filter(pa.array(keep))
                 yield pa.RecordBatch.from_arrays([ids, pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string())], names=["id", "full_hash"])
 
@@ -79,9 +78,10 @@ def survivors(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) ->
     keys = scratch.table(length_and_prefix(docs, id_col, text_col))
     lengths = keys.groupBy("len").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("len")
     prefixes = keys.groupBy("len", "prefix").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    bits = slot_bits(prefixes.join(lengths, "len", "left_semi"), "prefix", "len")
+    prefixes = scratch.table(prefixes.join(lengths, "len", "left_semi"))
+    (slots,) = slot_sets(prefixes, "prefix", [F.lit(True)], "len")
     scratch.drop(keys)
-    return scratch.table(full_hashes(docs, id_col, text_col, bits))
+    return scratch.table(full_hashes(docs, id_col, text_col, slots))
 
 
 def _groups(rows: DataFrame) -> DataFrame:

@@ -262,10 +262,11 @@ def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def remove_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_words, n_removed, kept_text): documents without spans pass without a shuffle."""
     scratch = Scratch(docs.sparkSession, "remove-spans")
-    bitmap = scratch.table(slot_bitmap(spans, "id"))
+    bits = bits_for(spans.count())
+    bitmap = scratch.table(slot_bitmap(spans, "id", bits=bits))
     rows = _source(docs, id_col, text_col)
-    marked = in_bitmap(rows, bitmap, "id").join(spans, "id", "left")
-    clear = in_bitmap(rows, bitmap, "id", present=False).withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType))
+    marked = in_bitmap(rows, bitmap, "id", bits=bits).join(spans, "id", "left")
+    clear = in_bitmap(rows, bitmap, "id", bits=bits, present=False).withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
