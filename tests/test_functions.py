@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from velario.functions import identifiers as ids
 from velario.functions import lexicon as lex
 from velario.functions import names
-from velario.functions.similarity import indel_ratio, indel_ratio_py, may_be_same_names
+from velario.functions.similarity import NameBlock, indel_ratio, indel_ratio_py, may_be_same_names
 
 
 def apply(spark, values, make, kind="string"):
@@ -85,3 +85,12 @@ def test_same_entity(spark):
     pairs = [("Mercadona", "Mercad", True), ("Mercadona SA", "Mercadnoa SA", True), ("BRICOL", "ORIOL", False), ("CONST", "CONAST", False), ("Acme", "Acme", False)]
     rows = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a string, b string, want boolean")
     assert all(r["ok"] == r["want"] for r in rows.select("want", may_be_same_names(F.col("a"), F.col("b")).alias("ok")).collect())
+
+
+def test_blocks_of_names_compare_alike():
+    rng = random.Random(11)
+    names = ["".join(rng.choices("abcñ ", k=rng.choice([0, 1, 5, 12, 63, 64, 80]))) for _ in range(60)]
+    block = NameBlock(names)
+    for name in names + ["zzz", "", "ab" * 50]:
+        assert block.ratios(name).tolist() == pytest.approx([indel_ratio_py(name, n) for n in names])
+    assert NameBlock([]).ratios("abc").tolist() == []

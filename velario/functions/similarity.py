@@ -7,6 +7,7 @@ use one bit-parallel LCS, linear in the longer name for names of usual length.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -77,6 +78,34 @@ class Pattern:
         return 200 * min(self.size, len(other)) >= ratio * (self.size + len(other))
 
 
+class NameBlock:
+    """Many names to be compared with one at a time: a step of the LCS goes over all of them at once."""
+
+    def __init__(self, names: list[str]):
+        self.names, self.sizes = names, np.array([len(n) for n in names], np.int64)
+        letters = sorted(set("".join(names)))
+        self.code = {c: i + 1 for i, c in enumerate(letters)}
+        self.codes = np.zeros((max(map(len, names), default=0), len(names)), np.int64)
+        for k, name in enumerate(names):
+            self.codes[: len(name), k] = [self.code[c] for c in name]
+
+    def ratios(self, name: str) -> np.ndarray:
+        """The indel ratio of ``name`` with every name of the block."""
+        pattern = Pattern(name)
+        if not 0 < pattern.size < 64:
+            return np.array([pattern.ratio(n) for n in self.names])
+        places = np.zeros(len(self.code) + 1, np.uint64)
+        for c, bits in pattern.places.items():
+            if c in self.code:
+                places[self.code[c]] = bits
+        full = np.uint64(pattern.full)
+        row = np.full(len(self.names), full)
+        for step in self.codes:  # shorter names go on with code 0, which changes nothing
+            hit = row & places[step]
+            row = (row + hit | row - hit) & full
+        return 200.0 * (pattern.size - np.bitwise_count(row).astype(np.int64)) / (pattern.size + self.sizes)
+
+
 def indel_ratio_py(a: str, b: str) -> float:
     return Pattern(a).ratio(b)
 

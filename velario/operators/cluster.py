@@ -9,13 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from velario.functions import lexicon as lex
 from velario.functions import names
-from velario.functions.similarity import Pattern, tokens_sorted
+from velario.functions.similarity import NameBlock, Pattern, tokens_sorted
 from velario.operators.lineage import cut
 
 THRESHOLD = 90
@@ -170,12 +171,12 @@ def suggestion_groups(entries: DataFrame, max_block: int = 600) -> DataFrame:
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         rows = sorted(zip(frame["id"], frame["norm"], strict=True))
         used: set = set()
-        groups = []
+        groups, block = [], NameBlock([tokens_sorted(norm) for _, norm in rows])
         for a, norm_a in rows:
             if a in used:
                 continue
-            alike = _alike(norm_a)
-            group = [a, *(b for b, norm_b in rows if b != a and b not in used and alike(norm_b))]
+            alike = _alike(norm_a, [norm for _, norm in rows], block)
+            group = [a, *(rows[k][0] for k in alike if rows[k][0] != a and rows[k][0] not in used)]
             if len(group) > 1:
                 groups.append(group)
                 used.update(group)
@@ -187,21 +188,16 @@ def suggestion_groups(entries: DataFrame, max_block: int = 600) -> DataFrame:
     return keyed.join(sizes, ["kind", "block"]).groupBy("kind", "block").applyInPandas(run, "kind string, ids array<long>")
 
 
-def _alike(a: str) -> Callable[[str], bool]:
-    """Whether another normalised name is worth a merge suggestion, as may_be_same says."""
-    by_token = Pattern(tokens_sorted(a))
-
-    def alike(b: str) -> bool:
-        if a == b:
-            return False
-        short, long = sorted((a, b), key=len)
-        if len(short) >= 4 and long.startswith(short):
-            return True
-        if len(short) < 6 or len(short) * 200 < (len(a) + len(b)) * 82:
-            return False
-        return 82 <= by_token.ratio(tokens_sorted(b)) < 95
-
-    return alike
+def _alike(a: str, others: list[str], block: NameBlock) -> list[int]:
+    """Places of the normalised names worth a merge suggestion with ``a``, as may_be_same says."""
+    sizes, n = np.array([len(b) for b in others]), len(a)
+    short = np.minimum(sizes, n)
+    near = np.zeros(len(others), bool)
+    if n >= 6 and ((short >= 6) & (short * 200 >= (sizes + n) * 82)).any():
+        ratios = block.ratios(tokens_sorted(a))
+        near = (short >= 6) & (ratios >= 82) & (ratios < 95)
+    prefix = [b != a and len(b) >= 4 and n >= 4 and (b.startswith(a) or a.startswith(b)) for b in others]
+    return [k for k in np.flatnonzero(near | np.array(prefix, bool)) if others[k] != a]
 
 
 def ranked(clusters: DataFrame) -> DataFrame:
