@@ -59,3 +59,28 @@ def test_long_texts(spark, monkeypatch):
     rows = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_dedup(rows).collect()}
     assert got == {1: (399_996, 1), 2: (399_997, 1), 3: (2, 3), 4: (0, 4)}
+
+
+def test_lists_make_rows_of_links_only(spark, monkeypatch):
+    """Members of a list that come near each other, but not near enough, don't become candidate pairs."""
+    rng = random.Random(23)
+    base = [f"w{k}" for k in range(400)]
+    # Similarity 0.70 to the base: not linked, but close.
+    parents = [[f"q{g}x{k}" if k % 28 == 7 + g else w for k, w in enumerate(base)] for g in range(4)]
+    docs = {}
+    for words in [base] * 40 + parents * 5:
+        at = rng.randrange(400)
+        docs[len(docs)] = " ".join([*words[:at], f"e{len(docs)}", *words[at + 1 :]])
+    made = []
+
+    def confirmed(pairs, *args):
+        made.append((pairs.count(), (out := kept(pairs, *args)).count()))
+        return out
+
+    kept = near_dedup.confirmed
+    monkeypatch.setattr(near_dedup, "confirmed", confirmed)
+    rows = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_dedup(rows).collect()}
+    assert got == {i: c for i, (_, c, _) in brute.near(docs).items()}
+    assert len(set(got.values())) == 5
+    assert len(made) == 2 and made[1][0] == made[1][1]

@@ -15,13 +15,16 @@
 4. The union-sketch estimate filters pairs, exact Jaccard on the full sets confirms links, and
    connected components of the links so far label the members.
 5. Where a list of a frequent value still holds several labels, members that don't have its most
-   common label are compared with all others in it, inside the join: sizes and shared shingles
-   bound the overlap first, then the overlap of the sketches, then signatures of ``SIGNATURE``
-   shingles decide (exactly for smaller sets). What passes is verified as in step 4, and the
-   labels that new links join are united.
+   common label are compared with all others in it, inside the join. Both show what sets them apart
+   from the most central member of that label: two sets are linked if they share enough of these
+   differences, so four counts bound what they can share first, and the differences, few in a group
+   of near copies, decide exactly. Where one has over ``DIFFERENCES``, the overlap of the sketches
+   and then signatures of ``SIGNATURE`` shingles decide (exactly for smaller sets). What passes is
+   verified as in step 4, and the labels that new links join are united.
 
 No list is capped and no value is dropped: pairs that step 3 doesn't make, step 5 does. What stays
-quadratic is a list's members outside its most common label times all its members, as integers.
+quadratic is a list's members outside its most common label times all its members, as integers:
+only pairs that the counts leave open look at arrays, and only links become rows.
 Hot values are counted with map-side combining, joins meet written tables so that adaptive
 execution can split their hot partitions, and memberships go through bitmaps, sized by the rows
 that they hold up to 16 MB; false hits only cost work. Edge cases: null or empty text, or text
@@ -56,6 +59,10 @@ CLASSES = (0.125, 1, 8, 64, 512, 4096)
 STARS = 3
 #: Shingles that a member shows where a list is compared; sets up to this size are compared exactly.
 SIGNATURE = 256
+#: Differences from a list's centre that a member shows where a list is compared.
+DIFFERENCES = 512
+#: Longs of the centres' sets that are broadcast: 16 MB. Rows of small tables that are broadcast.
+BROADCAST_LONGS, BROADCAST_ROWS = 2 << 20, 500_000
 
 
 def shingle_sets(texts: pa.Array, width: int = SHINGLE) -> Iterator[np.ndarray]:
@@ -199,23 +206,46 @@ def central_members(sets: DataFrame, common: SlotSet, levels: Levels, k: int, pe
     return sets.where("frequent").select("id", "shingles").mapInArrow(run, "rep long, n long, c long, held array<long>, indexed int, stars array<long>, sig array<long>")
 
 
-def open_entries(members: DataFrame, levels: Levels, minor: SlotSet, lists: SlotSet) -> DataFrame:
-    """(value, rep, n, c, held, label, sig, minor) of the members of lists that hold several labels."""
-    shared = members.sparkSession.sparkContext.broadcast((levels, minor, lists))
+def open_entries(members: DataFrame, levels: Levels, lists: SlotSet) -> DataFrame:
+    """(value, rep, label) of the members of ``lists``, and of some others by chance."""
+    shared = members.sparkSession.sparkContext.broadcast((levels, lists))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels, minor, lists = shared.value
+        levels, lists = shared.value
         for batch in batches:
             values, row = list_values(batch.column("held"))
             held = np.bincount(row, minlength=batch.num_rows)
             rank = np.arange(len(row)) - (np.cumsum(held) - held)[row]
             wanted = (rank < batch.column("indexed").to_numpy()[row]) & levels.classes(values)[1] & lists.has(values)
             at = pa.array(row[wanted])
-            label = batch.column("label").to_numpy()[row[wanted]]
-            columns = [batch.column(c).take(at) for c in ("rep", "n", "c", "held", "label", "sig")]
-            yield pa.RecordBatch.from_arrays([pa.array(values[wanted]), *columns, pa.array(minor.has(values[wanted], label))], names=["value", "rep", "n", "c", "held", "label", "sig", "minor"])
+            yield pa.RecordBatch.from_arrays([pa.array(values[wanted]), batch.column("rep").take(at), batch.column("label").take(at)], names=["value", "rep", "label"])
 
-    return members.mapInArrow(run, "value long, rep long, n long, c long, held array<long>, label long, sig array<long>, minor boolean")
+    return members.select("rep", "held", "indexed", "label").mapInArrow(run, "value long, rep long, label long")
+
+
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+def differences(entries: DataFrame, members: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """(rep, centre, n, c, held, sig, away, lost, own, diff) of each rep and centre in ``entries``.
+
+    away: shingles that only one of the two sets holds; lost: those of the centre; own: those of
+    the rep that another member holds too, at least; diff: all of them, null if over ``DIFFERENCES``.
+    """
+    pairs = scratch.table(entries.select("rep", "centre").distinct())
+    bits = bits_for(pairs.count())
+    wanted = in_bitmap(sets.select("id", "shingles"), scratch.table(slot_bitmap(pairs, "rep", bits=bits)), "id", bits=bits)
+    ids = scratch.table(pairs.select(F.col("centre").alias("id")).distinct())
+    centres = scratch.table(sets.join(ids, "id").select(F.col("id").alias("centre"), F.col("shingles").alias("x_c")))
+    longs = centres.agg(F.sum(F.size("x_c")).alias("n")).first()["n"] or 0
+    lost, own = F.array_except("x_c", "shingles"), F.array_except("shingles", "x_c")
+    made = pairs.join(members.select("rep", "n", "c", "held", "sig"), "rep").join(wanted, (F.col("rep") == F.col("id")) & (F.col("n") == F.size("shingles"))).join(F.broadcast(centres) if longs <= BROADCAST_LONGS else centres, "centre")
+    made = made.select("rep", "centre", "n", "c", "held", "sig", lost.alias("less"), own.alias("more"))
+    away = F.size("less") + F.size("more")
+    diff = F.when(away <= DIFFERENCES, F.concat("less", "more"))
+    # What the rep and the centre both hold is among the c shared shingles.
+    return scratch.table(made.select("rep", "centre", "n", "c", "held", "sig", away.alias("away"), F.size("less").alias("lost"), (F.col("c") - F.col("n") + F.size("more")).alias("own"), diff.alias("diff")))
 
 
 def estimate(a: Column, b: Column, k: int) -> tuple[Column, Column]:
@@ -280,11 +310,16 @@ def near_components(docs: DataFrame, reps: DataFrame, scratch: Scratch, id_col:
     by_label = members.select(F.explode(F.slice("held", 1, F.col("indexed"))).alias("value"), "label").groupBy("value", "label").agg(F.count(F.lit(1)).alias("n"))
     listed = by_label.groupBy("value").agg(F.count(F.lit(1)).alias("labels"), F.max(F.struct("n", "label")).alias("most")).where("labels > 1").select(F.col("value").alias("open"), F.col("most.label").alias("most"))
     listed = scratch.table(listed)
-    minor = scratch.table(by_label.join(listed, F.col("value") == F.col("open")).where("label <> most").select("value", "label"))
-    if minor.isEmpty():
+    lists = listed.count()
+    if not lists:
         return first
-    bits = bits_for(minor.count())
-    shared = scratch.table(open_entries(members, levels, slot_sets(minor, "value", [F.lit(True)], "label", bits=[bits])[0], slot_sets(minor, "value", [F.lit(True)], bits=[bits])[0]))
+    most = listed.select(F.col("most").alias("label")).distinct()
+    centres = members.join(_small(most, lists), "label").groupBy("label").agg(F.min(F.struct((-F.col("c") / F.col("n")).alias("order"), "rep")).alias("p")).select(F.col("label").alias("most"), F.col("p.rep").alias("centre"))
+    listed = scratch.table(listed.join(_small(scratch.table(centres), lists), "most"))
+    entries = open_entries(members, levels, slot_sets(listed, "open", [F.lit(True)], bits=[bits_for(lists)])[0])
+    entries = entries.join(_small(listed, lists), F.col("value") == F.col("open")).withColumn("minor", F.col("label") != F.col("most"))
+    entries = scratch.table(entries.select("value", "rep", "label", "minor", "centre"))
+    shared = scratch.table(entries.join(differences(entries, members, sets, scratch), ["rep", "centre"]))
     twin = shared.select(*[F.col(c).alias(f"{c}2") for c in shared.columns])
     # The overlap is at most the shared shingles of either, and must be 3/7 of both sizes together.
     bound = F.least("c", "c2") * (100 + percent) >= (F.col("n") + F.col("n2")) * percent
@@ -297,7 +332,13 @@ def near_components(docs: DataFrame, reps: DataFrame, scratch: Scratch, id_col:
     overlap = F.size(F.array_intersect("sig", "sig2"))
     small = (F.col("n") <= SIGNATURE) & (F.col("n2") <= SIGNATURE)
     close = F.when(small, _is_link(overlap, F.col("n"), F.col("n2"), percent)).otherwise(_near(*estimate(F.col("sig"), F.col("sig2"), SIGNATURE), percent, margin))
-    found = shared.where("minor").join(twin, (F.col("value") == F.col("value2")) & cheap & F.when(once, close).otherwise(False))
+    sketched = F.when(once, close).otherwise(False)
+    # Linked: (100 + percent) times what only one of both holds is at most (100 - percent) times both sizes together.
+    gap = (F.col("away") + F.col("away2")) * (100 + percent) - (F.col("n") + F.col("n2")) * (100 - percent)
+    can = (F.least("lost", "lost2") + F.least("own", "own2")) * (2 * (100 + percent)) >= gap
+    exact = F.size(F.array_intersect("diff", "diff2")) * (2 * (100 + percent)) >= gap
+    near = F.when(F.col("diff").isNotNull() & F.col("diff2").isNotNull(), exact).otherwise(sketched)
+    found = shared.where("minor").join(twin, (F.col("value") == F.col("value2")) & cheap & can & near)
     rest = scratch.table(found.select(F.col("rep").alias("a"), F.col("rep2").alias("b"), "label", "label2").distinct())
     joined = scratch.table(confirmed(rest, sets, k, percent, margin).select(F.col("label").alias("u"), F.col("label2").alias("v")).distinct())
     if joined.isEmpty():
