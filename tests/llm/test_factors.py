@@ -77,3 +77,19 @@ def test_structured_words_differ():
 def test_long_texts(spark):
     long = [f"l{k % 9973}x{k // 9973}" for k in range(300_000)]
     checked(spark, {1: " ".join(long), 2: " ".join(["head", *long[1000:]]), 3: None, 4: " ".join(long[:49])})
+
+
+def test_repeated_windows_are_looked_up_once(spark, monkeypatch):
+    """A line that texts repeat makes one row for each of its windows and documents, however often it stands there."""
+    line = " ".join(f"c{k}" for k in range(7))
+    docs = {i: f"own{i} " + " ".join([line] * (100 + i)) + f" end{i}" for i in range(6)}
+    made = {}
+
+    def later(rows, key, scratch):
+        made[key] = rows.count()
+        return kept(rows, key, scratch)
+
+    kept = substring_dedup._later
+    monkeypatch.setattr(substring_dedup, "_later", later)
+    checked(spark, docs)
+    assert 0 < made["hash"] <= 6 * (7 + 2 * 50)

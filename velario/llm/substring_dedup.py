@@ -13,6 +13,7 @@ of the smallest id, indexed by the place of its anchor.
    agree. A factor of ``WINDOW`` words or more is a duplicate span when the reference's id is smaller.
 3. Factor boundaries: windows of such segments outside the factor, and the reference's own windows,
    are looked up by hash among each other, since another segment of the block may hold them.
+   Equal windows of one document are looked up once.
 
 The spans of the three steps cover exactly the windows whose words also start in a document with a
 smaller id. Words are compared by a 64-bit hash each; segments and windows by 64 bits and by 31
@@ -165,7 +166,7 @@ def factors(batch: pa.RecordBatch, window: int) -> tuple[np.ndarray, np.ndarray]
     return at - left, at + right
 
 
-_PARSED = "id long, a int, b int, hash long, check int"
+_PARSED = "id long, hash long, check int, spans array<struct<a: int, b: int>>"
 
 
 def _windows(words: pa.ListArray, first: np.ndarray, count: np.ndarray, row: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -179,16 +180,30 @@ def _windows(words: pa.ListArray, first: np.ndarray, count: np.ndarray, row: np.
     return rows, place, range_hash(flat_words, at, at + window).view(np.int64), range_check(flat_words, at, at + window).astype(np.int32)
 
 
-def _parsed(batch: pa.RecordBatch, spans: tuple, edges: tuple) -> pa.RecordBatch:
-    """Duplicate spans (with null hashes) and windows still to be looked up, in words of the document."""
+def _parsed(batch: pa.RecordBatch, spans: tuple, edges: tuple, window: int) -> pa.RecordBatch:
+    """Duplicate spans (with null hashes) and windows still to be looked up, in words of the document.
+
+    Equal windows of one document are one row, whose spans cover all of them.
+    """
     ids, start = batch.column("id").to_numpy(), batch.column("start").to_numpy().astype(np.int64)
     (span_row, a, b), (row, place, hashes, checks) = spans, edges
-    rows = np.concatenate([span_row, row]).astype(np.int64)
-    firsts, lasts = np.concatenate([a, place]), np.concatenate([b, place])
-    null = np.arange(len(rows)) < len(span_row)
-    pad = np.zeros(len(span_row), np.int64)
-    columns = [pa.array(ids[rows]), pa.array((start[rows] + firsts).astype(np.int32)), pa.array((start[rows] + lasts).astype(np.int32)), pa.array(np.append(pad, hashes).astype(np.int64), mask=null), pa.array(np.append(pad, checks).astype(np.int32), mask=null)]
-    return pa.RecordBatch.from_arrays(columns, names=["id", "a", "b", "hash", "check"])
+    row = row.astype(np.int64)
+    own, at = ids[row], start[row] + place
+    order = np.lexsort((at, checks, hashes, own))
+    own, at, hashes, checks = own[order], at[order], hashes[order], checks[order]
+    new = np.ones(len(own), bool)
+    new[1:] = (own[1:] != own[:-1]) | (hashes[1:] != hashes[:-1]) | (checks[1:] != checks[:-1])
+    cut = new.copy()
+    cut[1:] |= at[1:] > at[:-1] + window
+    heads, ends = np.flatnonzero(cut), np.flatnonzero(np.append(cut[1:], True)[: len(cut)])
+    firsts = np.concatenate([start[span_row] + a, at[heads]]).astype(np.int32)
+    lasts = np.concatenate([start[span_row] + b, at[ends] + window]).astype(np.int32)
+    n, rows = len(span_row), np.flatnonzero(new)
+    offsets = np.concatenate([np.arange(n), n + np.searchsorted(heads, rows), [len(firsts)]]).astype(np.int32)
+    null, pad = np.arange(n + len(rows)) < n, np.zeros(n, np.int64)
+    found = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(firsts), pa.array(lasts)], names=["a", "b"]))
+    columns = [pa.array(np.append(ids[span_row], own[rows])), pa.array(np.append(pad, hashes[rows]).astype(np.int64), mask=null), pa.array(np.append(pad, checks[rows]).astype(np.int32), mask=null), found]
+    return pa.RecordBatch.from_arrays(columns, names=["id", "hash", "check", "spans"])
 
 
 def parse_against_references(pairs: DataFrame, window: int) -> DataFrame:
@@ -206,7 +221,7 @@ def parse_against_references(pairs: DataFrame, window: int) -> DataFrame:
             # Windows that start ahead of the factor, and those that end behind it.
             ahead, behind = np.where(long, a, windows), np.where(long, windows - (b - window + 1), 0)
             edges = [_windows(words, first, count, row, window) for first, count in ((np.zeros(len(row), np.int64), ahead), (b - window + 1, behind))]
-            yield _parsed(batch, (row[long], a[long], b[long]), tuple(np.concatenate(x) for x in zip(*edges, strict=True)))
+            yield _parsed(batch, (row[long], a[long], b[long]), tuple(np.concatenate(x) for x in zip(*edges, strict=True)), window)
 
     return pairs.mapInArrow(run, _PARSED)
 
@@ -219,7 +234,7 @@ def reference_windows(references: DataFrame, window: int) -> DataFrame:
             words = batch.column("words")
             windows = np.diff(words.offsets.to_numpy().astype(np.int64)) - window + 1
             none = np.zeros(0, np.int64)
-            yield _parsed(batch, (none, none, none), _windows(words, np.zeros(batch.num_rows, np.int64), windows, np.arange(batch.num_rows), window))
+            yield _parsed(batch, (none, none, none), _windows(words, np.zeros(batch.num_rows, np.int64), windows, np.arange(batch.num_rows), window), window)
 
     return references.mapInArrow(run, _PARSED)
 
@@ -238,7 +253,7 @@ def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(id, spans): word ranges of each document whose windows also start in a smaller id's text."""
     scratch = Scratch(docs.sparkSession, "substring-dedup")
     cut = scratch.table(segments(docs, id_col, text_col, window))
-    whole = _later(cut, "segment", scratch).select("id", F.col("start").alias("a"), (F.col("start") + F.col("windows") + window - 1).alias("b"))
+    whole = _later(cut, "segment", scratch).select("id", F.array(F.struct(F.col("start").alias("a"), (F.col("start") + F.col("windows") + window - 1).alias("b"))).alias("spans"))
     index = scratch.table(cut.groupBy("block", "segment", "check").agg(F.min("id").alias("id")))
     blocks = index.groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "segment")).alias("r")).where("n > 1")
     blocks = scratch.table(blocks.select(F.col("block").alias("open"), F.col("r.id").alias("r_id"), F.col("r.segment").alias("r_segment")))
@@ -250,10 +265,10 @@ def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     beside = references.select(F.col("block").alias("r_block"), F.col("id").alias("r_id"), F.col("anchor").alias("r_anchor"), F.col("words").alias("r_words"))
     pairs = parsed.where("not reference").join(beside, F.col("block") == F.col("r_block")).select("id", "start", "anchor", "words", "r_id", "r_anchor", "r_words")
     found = scratch.table(parse_against_references(pairs, window).unionByName(reference_windows(references.select("id", "start", "words"), window)))
-    long = found.where("hash is null").select("id", "a", "b")
-    edges = _later(found.where("hash is not null"), "hash", scratch).select("id", "a", (F.col("a") + window).alias("b"))
+    long = found.where("hash is null").select("id", "spans")
+    edges = _later(found.where("hash is not null"), "hash", scratch).select("id", "spans")
     # A document's spans are at most as many as its words.
-    spans = whole.unionByName(long).unionByName(edges).groupBy("id").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("spans"))
+    spans = whole.unionByName(long).unionByName(edges).groupBy("id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("spans")))).alias("spans"))
     out = scratch.table(spans)
     scratch.drop(cut, index, parsed, found)
     return out
