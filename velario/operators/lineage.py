@@ -20,6 +20,15 @@ def shared_folder(spark: SparkSession) -> str:
     return found
 
 
+def sorted_side(rows: DataFrame) -> DataFrame:
+    """``rows`` as the right side of a join that sorts both sides.
+
+    The planner broadcasts by the size of compressed files, and rows made from them may be many times
+    as large: the driver would hold them. The hint goes last, right before the join.
+    """
+    return rows.hint("merge")
+
+
 def cut(rows: DataFrame) -> DataFrame:
     """The rows from a checkpoint in the shared folder: what follows plans from there on."""
     shared_folder(rows.sparkSession)

@@ -5,7 +5,8 @@ Both forms give the same rows, every name that a text contains and how often wit
 - scan: for lists of up to ``SHARED_CHARS`` characters, measured first. An Aho-Corasick automaton of
   all names is built once for each Python worker and reads every text once; texts don't move.
 - join: beyond that size. Every name is known by its rarest gram, the one that the fewest names
-  hold, so no gram is hot because many names begin alike. Text keys and gram hashes are joined, after
+  hold, so no gram is hot because many names begin alike. Names of 8 characters or more have grams
+  of 8, since hundreds of thousands of names share each gram of 4. Text keys and gram hashes are joined, after
   a bitmap of the names' grams has passed them; texts are fetched by key last and only then searched.
 """
 
@@ -20,7 +21,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-GRAM = 4
+from velario.operators.lineage import sorted_side
+
+GRAM, LONG_GRAM = 4, 8
 SHARED_CHARS = 2_000_000
 #: log2 of the slots of the gram bitmap: 2 MB, whatever the number of names.
 BITMAP_BITS = 24
@@ -75,9 +78,11 @@ def _slot(column: str) -> str:
 
 
 def _join(texts: DataFrame, names: DataFrame, text_col: str, name_col: str, keep: list[str]) -> DataFrame:
-    widths = [r["w"] for r in names.select(F.least(F.length("name"), F.lit(GRAM)).alias("w")).distinct().collect()]  # GRAM rows at most
-    each = names.select("name", F.explode(grams(F.col("name"), GRAM)).alias("gram")).unionByName(names.where(F.length("name") < GRAM).select("name", F.col("name").alias("gram")))
-    rare = each.join(each.groupBy("gram").agg(F.count(F.lit(1)).alias("n")), "gram").groupBy("name").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
+    long = F.length("name") >= LONG_GRAM
+    widths = [r["w"] for r in names.select(F.when(long, LONG_GRAM).otherwise(F.least(F.length("name"), F.lit(GRAM))).alias("w")).distinct().collect()]  # GRAM + 1 rows at most
+    own_grams = F.when(long, grams(F.col("name"), LONG_GRAM)).when(F.length("name") >= GRAM, grams(F.col("name"), GRAM)).otherwise(F.array("name"))
+    each = names.select("name", F.explode(own_grams).alias("gram"))
+    rare = each.join(sorted_side(each.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))), "gram").groupBy("name").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
     keyed = rare.select("name", F.xxhash64("gram").alias("g"))
     bitmap = keyed.groupBy(F.expr(f"bitmap_bucket_number({_slot('g')})").alias("bucket")).agg(F.expr(f"bitmap_construct_agg(bitmap_bit_position({_slot('g')}))").alias("bitmap"))
     low = texts.where(F.length(text_col) > 0).select(F.col(text_col).alias("t")).distinct().select("t", *text_key(F.col("t")))
@@ -85,12 +90,12 @@ def _join(texts: DataFrame, names: DataFrame, text_col: str, name_col: str, keep
     marked = exploded.withColumns({"bucket": F.expr(f"bitmap_bucket_number({_slot('g')})"), "bit": F.expr(f"bitmap_bit_position({_slot('g')})")}).join(F.broadcast(bitmap), "bucket")
     byte = "cast(conv(hex(substring(bitmap, cast(bit div 8 as int) + 1, 1)), 16, 10) as int)"
     kept = marked.where(F.expr(f"shiftright({byte}, cast(bit % 8 as int)) & 1") == 1).select("k1", "k2", "g")
-    pairs = kept.join(keyed, "g").select("k1", "k2", "name").distinct()
+    pairs = kept.join(sorted_side(keyed), "g").select("k1", "k2", "name").distinct()
     rows = texts.where(F.length(text_col) > 0).select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)], F.col(text_col).alias("__text"))
     rows = rows.select("*", *[c.alias(f"__{k}") for k, c in zip(("k1", "k2"), text_key(F.col("__text")), strict=True)])
     hits = (F.length("__text") - F.length(F.replace("__text", F.col("name"), F.lit("")))) / F.length("name")
     own = [F.col(f"c{i}").alias(c) for i, c in enumerate(keep)]
-    met = rows.join(pairs, (F.col("__k1") == F.col("k1")) & (F.col("__k2") == F.col("k2"))).where(F.contains("__text", F.col("name")))
+    met = rows.join(sorted_side(pairs), (F.col("__k1") == F.col("k1")) & (F.col("__k2") == F.col("k2"))).where(F.contains("__text", F.col("name")))
     return met.select(*own, F.col("name").alias(name_col), hits.cast("long").alias("hits"))
 
 

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from velario.operators.lineage import sorted_side
 from velario.operators.occurrence import name_hits, text_key
 
 NATIVE_NAMES = 300
@@ -133,7 +134,7 @@ def _join_columns(rows: DataFrame, text_col: str, names: DataFrame) -> DataFrame
     texts = rows.where(F.length(text_col) > 0).select(F.col(text_col).alias("t")).distinct().select("t", F.lower("t").alias("low_t"), *text_key("t"))
     met = name_hits(texts, names, "low_t", "low", ["k1", "k2"], form="join")
     # A text's names are at most as many as its characters times the lengths of names.
-    lists = met.join(names.select("low", "codename"), "low").groupBy("k1", "k2").agg(F.collect_set(F.struct("low", "codename")).alias("names"))
+    lists = met.join(sorted_side(names.select("low", "codename")), "low").groupBy("k1", "k2").agg(F.collect_set(F.struct("low", "codename")).alias("names"))
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in frames:
@@ -145,10 +146,10 @@ def _join_columns(rows: DataFrame, text_col: str, names: DataFrame) -> DataFrame
             yield pa.RecordBatch.from_arrays([batch.column("t"), pa.array(out, pa.struct([("text", pa.string()), ("n", pa.int32())]))], names=["t", "__r"])
 
     result = T.StructType([T.StructField("text", T.StringType()), T.StructField("n", T.IntegerType())])
-    done = texts.join(lists, ["k1", "k2"]).select("t", "names").mapInArrow(run, T.StructType([T.StructField("t", T.StringType()), T.StructField("__r", result)])).select("t", "__r", *text_key("t"))
+    done = texts.join(sorted_side(lists), ["k1", "k2"]).select("t", "names").mapInArrow(run, T.StructType([T.StructField("t", T.StringType()), T.StructField("__r", result)])).select("t", "__r", *text_key("t"))
     own = rows.select("*", *[c.alias(f"__{n}") for n, c in zip(("k1", "k2"), text_key(text_col), strict=True)])
     same = (own["__k1"] == done["k1"]) & (own["__k2"] == done["k2"]) & (own[text_col] == done["t"])
-    joined = own.join(done, same, "left").drop("t", "k1", "k2", "__k1", "__k2")
+    joined = own.join(sorted_side(done), same, "left").drop("t", "k1", "k2", "__k1", "__k2")
     return joined.withColumn("__r", F.coalesce("__r", F.struct(F.col(text_col).alias("text"), F.lit(0).alias("n"))))
 
 
