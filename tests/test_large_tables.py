@@ -50,3 +50,7 @@ def test_long_names_meet_few_texts(spark):
     frame.collect()
     plan = frame._jdf.queryExecution().executedPlan()
     assert "substring(name" in plan.toString() and f", {occurrence.LONG_GRAM})" in plan.toString()
+
+
+def test_ner_dedup_anti_broadcasts_no_table(spark, tables):
+    assert broadcasts(catalogue.QUERIES["ner_dedup_anti"](spark, tables)) == 0

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from velario.functions import lexicon as lex
 from velario.functions import names
 from velario.functions.similarity import NameBlock, Pattern, tokens_sorted
-from velario.operators.lineage import cut
+from velario.operators.lineage import cut, sorted_side
 
 THRESHOLD = 90
 MAX_LENGTH_GAP = 6
@@ -81,12 +81,12 @@ def drop_covered(clusters: DataFrame) -> DataFrame:
     known = ledger.select(F.explode(F.array(names.normalize_org(F.col("v")), names.normalize_person(F.col("v")))).alias("known")).distinct()
     own = clusters.where(F.col("kind").isin("ORG", "PER")).select("kind", "canonical", "total_count", F.explode("variants").alias("v"))
     own = own.select("kind", "canonical", "total_count", names.normalize_org(F.col("v")).alias("org"), names.normalize_person(F.col("v")).alias("per"))
-    exact = own.select("kind", "canonical", F.explode(F.array("org", "per")).alias("known")).join(known, "known", "left_semi")
+    exact = own.select("kind", "canonical", F.explode(F.array("org", "per")).alias("known")).join(sorted_side(known), "known", "left_semi")
     full = known.where(F.length("known") >= 4).withColumn("gram", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("known") - 3), lambda i: F.substring("known", i, F.lit(4))))))
     part = own.where((F.length("org") >= 4) & (F.col("total_count") < 3)).withColumn("gram", F.substring("org", 1, 4))
-    inside = part.join(full, "gram").where(F.contains("known", "org") & (F.col("org") != F.col("known")) & (F.length("org") < 0.6 * F.length("known")))
+    inside = part.join(sorted_side(full), "gram").where(F.contains("known", "org") & (F.col("org") != F.col("known")) & (F.length("org") < 0.6 * F.length("known")))
     covered = exact.select("kind", "canonical").unionByName(inside.select("kind", "canonical")).distinct()
-    return clusters.join(covered, ["kind", "canonical"], "left_anti")
+    return clusters.join(sorted_side(covered), ["kind", "canonical"], "left_anti")
 
 
 def merge_persons(clusters: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
