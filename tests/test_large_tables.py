@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import random
 import re
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from velario.operators import occurrence
+from velario.functions.similarity import Pattern, indel_ratio_py, token_sort_ratio_py
+from velario.operators import cluster, occurrence
 from velario.plans import catalogue
 
 
@@ -54,3 +57,44 @@ def test_long_names_meet_few_texts(spark):
 
 def test_ner_dedup_anti_broadcasts_no_table(spark, tables):
     assert broadcasts(catalogue.QUERIES["ner_dedup_anti"](spark, tables)) == 0
+
+
+def plain_leaders(frame: pd.DataFrame, threshold: float) -> list[list[str]]:
+    """Every name is compared with every leader so far."""
+    heads: list[tuple[str, list[str]]] = []
+    for row in frame.sort_values(["length", "count", "text"], ascending=[False, False, True]).itertuples():
+        near = lambda norm: abs(len(norm) - len(row.norm)) <= 6 and token_sort_ratio_py(row.norm, norm) >= threshold and indel_ratio_py(row.norm, norm) >= threshold - 10  # noqa: B023, E731
+        home = next((own for norm, own in heads if near(norm)), None)
+        if home is None:
+            heads.append((row.norm, home := []))
+        home.append(row.text)
+    return [own for _, own in heads]
+
+
+def block(names: list[str]) -> pd.DataFrame:
+    return pd.DataFrame({"kind": "ORG", "text": names, "norm": names, "count": 1, "count_": 1, "length": [len(n) for n in names], "codes": [[] for _ in names]})
+
+
+def test_leaders_equal_those_of_all_comparisons():
+    r = random.Random(7)
+    for trial in range(150):
+        letters, size = r.choice(["ab", "abc d", "abcdefgh "]), r.choice([1, 4, 9, 20, 50])
+        names = {""}
+        for _ in range(40):
+            name = list(r.choice(sorted(names))) if r.random() < 0.7 else [r.choice(letters) for _ in range(size)]
+            for _ in range(r.randint(0, 3)):
+                at = r.randint(0, len(name))
+                name[at : at + r.randint(0, 1)] = r.choice(["", r.choice(letters)])
+            names.add("".join(name))
+        frame, threshold = block(sorted(names)), r.choice([60, 82, 90, 90, 95, 100])
+        assert cluster.leaders(frame, threshold)["variants"].tolist() == plain_leaders(frame, threshold), (trial, threshold)
+
+
+def test_leaders_compare_few_pairs(monkeypatch):
+    """A block of 2,000 different names and their variants: comparisons follow the names, not their square."""
+    done = []
+    monkeypatch.setattr(Pattern, "ratio", lambda self, other, own=Pattern.ratio: done.append(1) or own(self, other))
+    names = ["ab" + "".join(random.Random(i).choices("bcdfghjklmnprstv", k=14)) for i in range(2000)]
+    found = cluster.leaders(block(names + [n[:5] + "x" + n[6:] for n in names]))
+    assert len(found) == 2000 and found["variants"].map(len).eq(2).all()
+    assert len(done) < 50 * len(names)

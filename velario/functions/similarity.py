@@ -106,6 +106,68 @@ class NameBlock:
         return 200.0 * (pattern.size - np.bitwise_count(row).astype(np.int64)) / (pattern.size + self.sizes)
 
 
+class NearNames:
+    """Names added one by one, and which of them may reach a ratio with another name: none that does is left out.
+
+    A ratio allows so many indels, by lengths. A name is cut into one piece more than any name allows
+    it, so with ``most`` indels to another name, of any ``most`` + 1 of its pieces one stands in that
+    name, moved by the indels ahead of it at most. The pieces with the fewest names are looked up.
+    """
+
+    def __init__(self, ratio: float):
+        self.ratio = ratio
+        self.count = 0
+        self.by_size: dict[int, tuple[list[tuple[int, int]], list[dict[str, list[int]]]]] = {}
+        self.whole = ratio <= 0 or ratio > 100  # nothing to go by: all are given
+
+    def _most(self, m: int, n: int) -> int:
+        """Indels between names of these lengths that the ratio allows; rounding only lets more through."""
+        return int((m + n) * (100 - self.ratio) / 100 + 1e-6)
+
+    def _pieces(self, n: int) -> list[tuple[int, int]]:
+        longest = int(n * (200 - self.ratio) / self.ratio + 1e-6)
+        k = self._most(longest, n) + 1
+        # Names of a block begin alike: the first piece has those two characters beside its share.
+        cuts = [0, *(2 + (n - 2) * i // k for i in range(1, k)), n] if n > k + 2 else [*range(max(n, 1)), n]
+        return list(zip(cuts, cuts[1:]))
+
+    def add(self, name: str) -> None:
+        place, n = self.count, len(name)
+        self.count += 1
+        if self.whole:
+            return
+        if n not in self.by_size:
+            pieces = self._pieces(n)
+            self.by_size[n] = pieces, [{} for _ in pieces]
+        pieces, lists = self.by_size[n]
+        for (a, b), found in zip(pieces, lists):
+            found.setdefault(name[a:b], []).append(place)
+
+    def places(self, name: str) -> list[int]:
+        """Places of the added names that may reach the ratio, in the order in which they were added."""
+        if self.whole:
+            return list(range(self.count))
+        out: set[int] = set()
+        m = len(name)
+        for n, (pieces, lists) in self.by_size.items():
+            most = self._most(m, n)
+            if abs(m - n) > most:
+                continue
+            fewer, more = (most + n - m) // 2, (most + m - n) // 2  # characters that go from the other name, that come
+            met = []
+            for (a, b), found in zip(pieces, lists):
+                moved = {name[at : at + b - a] for at in range(max(0, a - fewer), min(m - b + a, a + more) + 1)}
+                met.append([x for s in moved if (x := found.get(s))])
+            if len(met) > most + 1:
+                met = sorted(met, key=lambda own: sum(map(len, own)))[: most + 1]
+            elif len(met) <= most:  # a short name with fewer characters than pieces
+                met = [list(found.values()) for found in lists[:1]]
+            for own in met:
+                for x in own:
+                    out.update(x)
+        return sorted(out)
+
+
 def indel_ratio_py(a: str, b: str) -> float:
     return Pattern(a).ratio(b)
 

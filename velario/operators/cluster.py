@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from velario.functions import lexicon as lex
 from velario.functions import names
-from velario.functions.similarity import NameBlock, Pattern, tokens_sorted
+from velario.functions.similarity import NameBlock, NearNames, Pattern, tokens_sorted
 from velario.operators.lineage import cut, sorted_side
 
 THRESHOLD = 90
@@ -39,16 +39,22 @@ def leaders(frame: pd.DataFrame, threshold: float = THRESHOLD) -> pd.DataFrame:
     """Greedy leader clusters of one block, longest texts first."""
     frame = frame.assign(length=frame["text"].str.len()).sort_values(["length", "count", "text"], ascending=[False, False, True])
     heads: list[tuple[str, str, dict]] = []
+    homes: dict[str, dict] = {}  # equal names have one home: leaders made later come after it
+    near = NearNames(threshold)
     for row in frame.itertuples():
-        home, ordered = None, tokens_sorted(row.norm)
-        plain, by_token = Pattern(row.norm), Pattern(ordered)
-        for norm, tokens, cluster in heads:
-            if abs(len(norm) - len(row.norm)) <= MAX_LENGTH_GAP and by_token.may_reach(tokens, threshold) and by_token.ratio(tokens) >= threshold and plain.ratio(norm) >= threshold - 10:
-                home = cluster
-                break
+        home = homes.get(row.norm)
+        if home is None:
+            ordered = tokens_sorted(row.norm)
+            plain, by_token = Pattern(row.norm), Pattern(ordered)
+            for norm, tokens, cluster in map(heads.__getitem__, near.places(ordered)):
+                if abs(len(norm) - len(row.norm)) <= MAX_LENGTH_GAP and by_token.may_reach(tokens, threshold) and by_token.ratio(tokens) >= threshold and plain.ratio(norm) >= threshold - 10:
+                    home = cluster
+                    break
         if home is None:
             home = {"kind": row.kind, "canonical": row.text, "variants": [], "total_count": 0, "account_codes": []}
             heads.append((row.norm, ordered, home))
+            near.add(ordered)
+        homes[row.norm] = home
         home["variants"].append(row.text)
         home["total_count"] += int(row.count_)
         home["account_codes"] += [c for c in row.codes if c not in home["account_codes"]]
@@ -117,9 +123,9 @@ def merge_persons(clusters: DataFrame, threshold: float = THRESHOLD) -> DataFram
                 break
             before = now
     home = home.join(persons.select("per", "canonical"), "per").select("canonical", F.col("org.text").alias("org"), "per")
-    joined = persons.select("canonical", "variants").join(home, "canonical").join(clusters.where("kind = 'PER'").select("canonical", "total_count"), "canonical")
+    joined = persons.select("canonical", "variants").join(sorted_side(home), "canonical").join(sorted_side(clusters.where("kind = 'PER'").select("canonical", "total_count")), "canonical")
     moved = joined.groupBy("org").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("per", "variants"))), lambda p: p["variants"])).alias("more"), F.sum("total_count").alias("more_count")).withColumnRenamed("org", "canonical").withColumn("kind", F.lit("ORG"))
-    kept = clusters.join(home.select("canonical", F.lit("PER").alias("kind")), ["kind", "canonical"], "left_anti").join(moved, ["kind", "canonical"], "left")
+    kept = clusters.join(sorted_side(home.select("canonical", F.lit("PER").alias("kind"))), ["kind", "canonical"], "left_anti").join(sorted_side(moved), ["kind", "canonical"], "left")
     return kept.select("kind", "canonical", F.when(F.col("more").isNull(), F.col("variants")).otherwise(F.concat("variants", "more")).alias("variants"), (F.col("total_count") + F.coalesce("more_count", F.lit(0))).alias("total_count"), "account_codes")
 
 
