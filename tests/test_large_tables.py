@@ -98,3 +98,8 @@ def test_leaders_compare_few_pairs(monkeypatch):
     found = cluster.leaders(block(names + [n[:5] + "x" + n[6:] for n in names]))
     assert len(found) == 2000 and found["variants"].map(len).eq(2).all()
     assert len(done) < 50 * len(names)
+
+
+def test_assign_codenames_broadcasts_kinds_alone(spark, tables):
+    plan = catalogue.QUERIES["assign_codenames"](spark, tables)._jdf.queryExecution().executedPlan().toString()
+    assert all("[kind" in line for line in re.findall(r"BroadcastHashJoin.*", plan))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from velario.functions import lexicon as lex
 from velario.functions import names
 from velario.operators.cluster import suggestion_groups
+from velario.operators.lineage import sorted_side
 
 MODES = ("account_full", "account_short", "sequential")
 MAPPING = "project string, kind string, kind_ord int, original string, entry_ord int, codename string"
@@ -23,7 +24,7 @@ def existing_codenames(clusters: DataFrame, mapping: DataFrame) -> DataFrame:
     keyed = clusters.select("kind", "canonical", F.posexplode("variants").alias("pos", "variant")).withColumn("low", F.lower("variant"))
     entries = mapping.select(F.lower("original").alias("low"), F.col("codename").alias("known"), "kind_ord", "entry_ord")
     first = entries.groupBy("low").agg(F.min_by("known", F.struct("kind_ord", "entry_ord", "known")).alias("known"))
-    hits = keyed.join(first, "low")
+    hits = keyed.join(sorted_side(first), "low")
     return hits.groupBy("kind", "canonical").agg(F.min_by("known", "pos").alias("known"))
 
 
@@ -42,7 +43,7 @@ def assign_codenames(clusters: DataFrame, mapping: DataFrame | None, project: st
     mapping = spark.createDataFrame([], MAPPING) if mapping is None else mapping.where(F.col("project") == project)
     codename = project.capitalize()
     rows = merge_same_names(clusters)
-    rows = rows.join(existing_codenames(rows, mapping), ["kind", "canonical"], "left")
+    rows = rows.join(sorted_side(existing_codenames(rows, mapping)), ["kind", "canonical"], "left")
     per_kind = mapping.groupBy("kind").agg(F.count(F.lit(1)).alias("seed"))
     used = F.coalesce(F.max(F.nullif(F.regexp_extract("codename", r"^\[Empresa-(\d+)\]$", 1), F.lit("")).cast("int")), F.lit(0))
     # One row: the project codename's use and the highest company number so far.
