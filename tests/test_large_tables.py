@@ -103,3 +103,8 @@ def test_leaders_compare_few_pairs(monkeypatch):
 def test_assign_codenames_broadcasts_kinds_alone(spark, tables):
     plan = catalogue.QUERIES["assign_codenames"](spark, tables)._jdf.queryExecution().executedPlan().toString()
     assert all("[kind" in line for line in re.findall(r"BroadcastHashJoin.*", plan))
+
+
+def test_rehydrating_broadcasts_no_table(spark, tables, by_join):
+    for name in ("conversation_rehydrate", "round_trip"):
+        assert broadcasts(catalogue.QUERIES[name](spark, tables)) == 0, name
