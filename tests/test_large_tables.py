@@ -108,3 +108,7 @@ def test_assign_codenames_broadcasts_kinds_alone(spark, tables):
 def test_rehydrating_broadcasts_no_table(spark, tables, by_join):
     for name in ("conversation_rehydrate", "round_trip"):
         assert broadcasts(catalogue.QUERIES[name](spark, tables)) == 0, name
+
+
+def test_row_context_broadcasts_no_table(spark, tables, by_join):
+    assert broadcasts(catalogue.QUERIES["row_context"](spark, tables)) == 0

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from velario.functions import names
+from velario.operators.lineage import sorted_side
 from velario.operators.occurrence import name_hits
 
 SHEET = ("doc_id", "sheet_ord", "sheet")
@@ -119,7 +120,7 @@ def row_contexts(cells: DataFrame, wanted: DataFrame, max_len: int = 120) -> Dat
     hits = name_hits(rows, wanted, "low", "name_lower", order)
     first = hits.groupBy("name_lower").agg(F.min(F.struct(*order)).alias("at")).select("name_lower", "at.*")
     snippet = F.when(F.length("line") <= max_len, F.col("line")).otherwise(F.concat(F.rtrim(F.substring("line", 1, max_len - 1)), F.lit("…")))
-    return first.join(lined, order).select("name_lower", snippet.alias("snippet"))
+    return first.join(sorted_side(lined), order).select("name_lower", snippet.alias("snippet"))
 
 
 def attach_contexts(clusters: DataFrame, contexts: DataFrame) -> DataFrame:
