@@ -112,3 +112,7 @@ def test_rehydrating_broadcasts_no_table(spark, tables, by_join):
 
 def test_row_context_broadcasts_no_table(spark, tables, by_join):
     assert broadcasts(catalogue.QUERIES["row_context"](spark, tables)) == 0
+
+
+def test_detect_candidates_broadcasts_no_table(spark, tables, by_join):
+    assert broadcasts(catalogue.QUERIES["detect_candidates"](spark, tables)) == 0

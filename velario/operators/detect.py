@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from velario.functions import lexicon as lex
 from velario.functions import names
 from velario.functions.identifiers import LABEL_WINDOW, PATTERNS, find_all, keep_id, matches_with_context
+from velario.operators.lineage import sorted_side
 from velario.operators.occurrence import name_hits
 
 #: Fragments of a file that one task orders.
@@ -76,7 +77,7 @@ def structured_matches(fragments: DataFrame) -> DataFrame:
         found.append(F.transform(values, _tag(kind)))
     rows = fragments.select("batch_id", "doc_id", F.explode(F.concat(*found)).alias("m")).select("batch_id", "doc_id", F.col("m.kind").alias("kind"), F.col("m.value").alias("value"))
     cif = rows.where("kind = 'CIF'").select("batch_id", "value", F.lit("NIF").alias("kind")).distinct()
-    return rows.join(cif, ["batch_id", "value", "kind"], "left_anti").select("batch_id", "doc_id", "kind", "value")
+    return rows.join(sorted_side(cif), ["batch_id", "value", "kind"], "left_anti").select("batch_id", "doc_id", "kind", "value")
 
 
 def _kept(kind: str) -> Callable[[Column], Column]:
@@ -97,7 +98,7 @@ def substring_counts(values: DataFrame, fragments: DataFrame, column: str = "val
 def structured_candidates(fragments: DataFrame) -> DataFrame:
     matches = structured_matches(fragments)
     counts = substring_counts(matches, fragments)
-    return matches.select("kind", "value").distinct().join(counts, "value").select(F.col("value").alias("text"), "kind", "count", F.lit("regex").alias("source"), F.lit(None).cast("string").alias("account_code"))
+    return matches.select("kind", "value").distinct().join(sorted_side(counts), "value").select(F.col("value").alias("text"), "kind", "count", F.lit("regex").alias("source"), F.lit(None).cast("string").alias("account_code"))
 
 
 def distinct_texts(fragments: DataFrame) -> DataFrame:
@@ -141,10 +142,10 @@ def suffix_variants(orgs: DataFrame, fragments: DataFrame) -> DataFrame:
     """(text, count): each company name as it stands with a suffix somewhere, not yet listed."""
     named = orgs.select(F.col("text").alias("org"), F.lower("text").alias("name")).distinct()
     texts = distinct_texts(fragments).withColumn("low", F.lower("text"))
-    met = name_hits(texts, named, "low", "name", ["text"]).join(named, "name")
+    met = name_hits(texts, named, "low", "name", ["text"]).join(sorted_side(named), "name")
     pattern = F.concat(F.lit("(?iU)\\Q"), F.replace("org", F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"), F.lit(SUFFIX_SHAPE))
     found = met.select("org", F.explode(F.regexp_extract_all("text", pattern, F.lit(0))).alias("v")).select("org", F.rtrim(F.regexp_replace(F.trim("v"), ",+$", "")).alias("text"))
-    new = found.where("text <> org").select("text").distinct().join(orgs.select("text"), "text", "left_anti")
+    new = found.where("text <> org").select("text").distinct().join(sorted_side(orgs.select("text")), "text", "left_anti")
     return substring_counts(new.withColumnRenamed("text", "value"), fragments).withColumnRenamed("value", "text")
 
 
